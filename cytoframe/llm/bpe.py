@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cytoframe.llm.settings import tokenizer_path
 
@@ -185,7 +186,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
     """``keep`` and n_tokens, ids_sha256, decoded_sha256 (and ids, an array, if asked for) of each text."""
     path = path or tokenizer_path("byte_bpe_50k.json")
     schema = docs.select(*keep).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("ids", "array<int>"),) if with_ids else ())):
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("ids", ArrayType(IntegerType())),) if with_ids else ())):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoframe.llm import bpe, mixing, quality_model, quality_rules, token_count, url_filter
+from cytoframe.llm import bpe, mixing, near_dup, oracles, quality_model, quality_rules, token_count, url_filter
 from cytoframe.llm.common import load
 
 
@@ -29,6 +29,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -38,4 +42,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": oracles.OP3, "op8_near_duplicates": oracles.OP8}
