@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoframe.llm import bpe, mixing, near_dup, oracles, quality_model, quality_rules, token_count, url_filter
+from cytoframe.llm import bpe, mixing, near_dup, oracles, quality_model, quality_rules, token_count, top_k, url_filter
 from cytoframe.llm.common import load
 
 
@@ -25,6 +25,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(load(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(load(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
@@ -42,4 +46,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": oracles.OP3, "op8_near_duplicates": oracles.OP8}
+    return {"op3_source_mixing": oracles.OP3, "op6_top_k": oracles.OP6, "op8_near_duplicates": oracles.OP8}
