@@ -114,3 +114,17 @@ def mix(docs: DataFrame, seed: str = "mix-1", blocks: int = BLOCKS) -> DataFrame
     part = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("rest")) - (F.col("upto") - F.col("size")))
     both = both.withColumn("upto", upto)
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + part).cast("long").alias("taken"), "source")
+
+
+def repeat_documents(docs: DataFrame, seed: str = "mix-1", blocks: int = BLOCKS) -> DataFrame:
+    """The mix as documents: each row as many times as the words taken fill it, the last time if by half at least.
+
+    The columns are those of ``docs``. Rows that repeat a doc_id, source and size are alike to the mix and share what it takes of them.
+    """
+    taken = mix(docs, seed, blocks).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    times = F.floor(F.col("taken") / (F.greatest(F.col("size"), F.lit(1)) * F.col("rows")) + 0.5).cast("int")
+    taken = taken.select("doc_id", "source", "size", times.alias("times")).where("times > 0").alias("t")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size")).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size")]
+    both = packed.join(taken, same[0] & same[1] & same[2]).select("d._row", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("_time"))
+    return both.select("_row.*")

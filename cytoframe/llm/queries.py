@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoframe.llm import bpe, mixing, near_dup, oracles, quality_model, quality_rules, token_count, top_k, url_filter
+from cytoframe.llm import bpe, html_text, masked_lm, mixing, near_dup, oracles, quality_model, quality_rules, token_count, top_k, url_filter
 from cytoframe.llm.common import load
 
 
@@ -21,6 +21,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(load(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(load(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(load(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
