@@ -1 +1,160 @@
-"""Queries to come."""
+"""Queries that fit models. Most have no SQL; tests compare them with brute force on small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cytoframe.catalog import query
+from cytoframe.catalog.sites import one
+from cytoframe.catalog.sql import V
+from cytoframe.operators import hmm as H
+from cytoframe.operators import models as M
+from cytoframe.operators import sites as S
+from cytoframe.sources import adapters as A
+
+
+def patterned(spark, d, low: int = 300, turn: bool = False):
+    """Sites whose levels are near 0 in the first ``low`` of every 1000 positions and near 1 elsewhere, or the other way round."""
+    few = F.floor(F.col("n_meth") / 6).cast("long")
+    inside = (F.col("pos") % 1000 < low) != F.lit(turn)
+    return A.sites(spark, d).withColumn("n_meth", F.when(inside, few).otherwise(F.col("n_reads") - few))
+
+
+def arrays(rows):
+    return rows.where("n_reads > 0").select("chrom", "pos", F.array("n_meth").alias("m"), F.array(F.col("n_reads") - F.col("n_meth")).alias("u"))
+
+
+def observed(spark, d, **how):
+    return arrays(patterned(spark, d, **how).where("sample = 'A'"))
+
+
+@query()
+def hmr(spark, d):
+    return H.low_regions(observed(spark, d), gap=50)
+
+
+@query()
+def hmr_partial(spark, d):
+    """Partly methylated regions, by folded counts."""
+    half = F.when(F.col("pos") % 1000 < 300, F.floor(F.col("n_reads") / 2).cast("long")).otherwise(F.col("n_meth"))
+    return H.low_regions(arrays(S.fold_partial(patterned(spark, d).where("sample = 'A'").withColumn("n_meth", half))), gap=50)
+
+
+@query()
+def hmr_rep(spark, d):
+    rows = patterned(spark, d).groupBy("chrom", "pos").agg(*[F.sum(F.when(F.col("sample") == s, F.col(c))).alias(f"{s}_{c}") for s in "ANR" for c in ("n_meth", "n_reads")])
+    rows = rows.where(" and ".join(f"{s}_n_reads > 0" for s in "ANR"))
+    return H.low_regions(rows.select("chrom", "pos", F.array(*[f"{s}_n_meth" for s in "ANR"]).alias("m"), F.array(*[F.col(f"{s}_n_reads") - F.col(f"{s}_n_meth") for s in "ANR"]).alias("u")), gap=50)
+
+
+@query()
+def hypermr(spark, d):
+    return H.high_regions(observed(spark, d, low=200, turn=True), gap=50)
+
+
+@query()
+def pmd(spark, d):
+    return H.partly_methylated(patterned(spark, d).where("sample = 'A'").select("chrom", "pos", "n_meth", "n_reads"), bin_size=20)
+
+
+#: Six samples: return flag by line status. Factors: base, and whether the flag is A.
+DESIGN = [[1, 1], [1, 1], [1, 0], [1, 0], [1, 0], [1, 0]]
+
+
+def table(spark, d):
+    q, disc = F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long")
+    rows = A.table(spark, d, "lineitem").select(
+        F.concat(F.lit("chr"), (F.col("l_suppkey") % 5 + 1).cast("string")).alias("chrom"), (2 * F.col("l_partkey") + F.col("l_linenumber") % 2).cast("long").alias("pos"),
+        F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit("CpG").alias("context"), F.concat("l_returnflag", "l_linestatus").alias("s"), q.alias("n"), F.floor(q * disc / 10).cast("long").alias("m"),
+    )
+    of = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("s") == s, F.col(c))), F.lit(0)) for s in ("AF", "AO", "NF", "NO", "RF", "RO")])
+    return rows.groupBy("chrom", "pos", "strand", "context").agg(of("n").alias("n"), of("m").alias("m"))
+
+
+@query()
+def radmeth(spark, d):
+    out = M.regression(table(spark, d), DESIGN, 1)
+    return out.select("chrom", "pos", "strand", "context", F.round("p", 6).alias("p"), F.round("dispersion", 4).alias("dispersion"), "n_case", "m_case", "n_control", "m_control")
+
+
+@query()
+def radmeth_nano(spark, d):
+    """The same likelihood over real-valued counts."""
+    rows = table(spark, d).withColumn("m", F.zip_with("m", "n", lambda m, n: F.least(m + 0.25, n.cast("double"))))
+    return M.regression(rows, DESIGN, 1).select("chrom", "pos", F.round("p", 6).alias("p"), "n_case", "n_control")
+
+
+@query(V(", r AS (SELECT count(*) FILTER (n_case = 0 OR n_control = 0) AS low, count(*) FILTER (n_case > 0 AND n_control > 0 AND (m = 0 OR m = n)) AS flat, count(*) AS sites FROM (SELECT chrom, pos, coalesce(sum(n_reads) FILTER (sample = 'A'), 0) AS n_case, coalesce(sum(n_reads) FILTER (sample <> 'A'), 0) AS n_control, sum(n_meth) AS m, sum(n_reads) AS n FROM sites GROUP BY 1, 2)) SELECT * FROM r", "sites"))
+def radmeth_untestable(spark, d):
+    """Sites that cannot be tested: no reads in cases or controls; or all, or no reads methylated."""
+    case = F.col("sample") == "A"
+    rows = A.sites(spark, d).groupBy("chrom", "pos").agg(F.coalesce(F.sum(F.when(case, F.col("n_reads"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~case, F.col("n_reads"))), F.lit(0)).alias("b"), F.sum("n_meth").alias("m"), F.sum("n_reads").alias("n"))
+    low = (F.col("a") == 0) | (F.col("b") == 0)
+    return rows.agg(F.count(F.when(low, 1)).alias("low"), F.count(F.when(~low & ((F.col("m") == 0) | (F.col("m") == F.col("n"))), 1)).alias("flat"), F.count(F.lit(1)).alias("sites"))
+
+
+@query()
+def radadjust(spark, d):
+    tested = M.regression(table(spark, d), DESIGN, 1).select("chrom", "pos", F.coalesce("p", F.lit(1.0)).alias("p"))
+    out = M.adjust_regression(tested, 20, 5)
+    return out.select("chrom", "pos", F.round("p", 6).alias("p"), F.round("combined", 6).alias("combined"), F.round("fdr", 6).alias("fdr"))
+
+
+def assays(spark, d):
+    """Samples A, N and R as the three assays, at sites that all have."""
+    rows = A.sites(spark, d).groupBy("chrom", "pos").agg(*[F.sum(F.when(F.col("sample") == s, c)).alias(f"{a}_{k}") for s, a in (("A", "bs"), ("N", "tab"), ("R", "ox")) for k, c in (("m", F.col("n_meth")), ("u", F.col("n_reads") - F.col("n_meth")))])
+    return rows.where("bs_m is not null and tab_m is not null and ox_m is not null")
+
+
+@query()
+def mlml(spark, d):
+    return M.hydroxy(assays(spark, d))
+
+
+@query(V(", w AS (SELECT chrom, pos, a.n_meth AS bm, a.n_reads - a.n_meth AS bu, n.n_meth AS tm, n.n_reads - n.n_meth AS tu, r.n_meth AS om, r.n_reads - r.n_meth AS ou FROM (SELECT * FROM sites WHERE sample = 'A') a JOIN (SELECT * FROM sites WHERE sample = 'N') n USING (chrom, pos) JOIN (SELECT * FROM sites WHERE sample = 'R') r USING (chrom, pos)) SELECT chrom, pos, bm, bu, tm, tu, om, ou, round(CAST(bm AS DOUBLE) / (bm + bu) - CAST(tm AS DOUBLE) / (tm + tu), 6) AS m_by_difference FROM w", "sites"))
+def mlml_inputs(spark, d):
+    """The position-wise join of the three assays, with the estimate of methylation by difference."""
+    m = lambda a: F.col(f"{a}_m").cast("double") / (F.col(f"{a}_m") + F.col(f"{a}_u"))
+    return assays(spark, d).select("chrom", "pos", F.col("bs_m").alias("bm"), F.col("bs_u").alias("bu"), F.col("tab_m").alias("tm"), F.col("tab_u").alias("tu"), F.col("ox_m").alias("om"), F.col("ox_u").alias("ou"), F.round(m("bs") - m("tab"), 6).alias("m_by_difference"))
+
+
+LCH = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+FISHER = """, s AS (SELECT chrom, pos, seq, unnest(range(1, length(seq))) AS k FROM epireads), t AS (SELECT chrom, pos + k - 1 AS i, """ + ", ".join(f"count(*) FILTER (seq[k:k + 1] = '{s}') AS {s.lower()}" for s in ("CC", "CT", "TC", "TT")) + """ FROM s GROUP BY 1, 2),
+    g AS (SELECT *, unnest(range(greatest(0, tc_row + tc_col - n), least(tc_row, tc_col) + 1)) AS k FROM (SELECT *, cc + ct AS tc_row, cc + tc AS tc_col, cc + ct + tc + tt AS n FROM t)),
+    l AS (SELECT *, """ + LCH.format(n="tc_col", k="k") + " + " + LCH.format(n="(n - tc_col)", k="tc_row - k") + """ AS lp, """ + LCH.format(n="tc_col", k="cc") + " + " + LCH.format(n="(n - tc_col)", k="tc_row - cc") + " AS seen, " + LCH.format(n="n", k="tc_row") + """ AS all_p FROM g)
+    SELECT chrom, i, cc, ct, tc, tt, round(CASE WHEN cc * tt > ct * tc THEN least(1, tail) ELSE 1 END, 6) AS p FROM (SELECT chrom, i, cc, ct, tc, tt, sum(exp(lp - all_p)) FILTER (lp <= seen + 1e-9) AS tail FROM l GROUP BY ALL)"""
+
+
+@query(V(FISHER, "epireads"))
+def allelic(spark, d):
+    return M.allelic(A.epireads(spark, d)).withColumn("p", F.round("p", 6))
+
+
+def alleles(spark, d):
+    """Read states that agree within a read, half of the reads on either side, over the first 60 sites."""
+    own = F.when(F.col("read") % 2 == 0, F.translate("seq", "T", "C")).otherwise(F.translate("seq", "C", "T"))
+    return A.epireads(spark, d).withColumn("seq", F.when(F.col("pos") < 60, own).otherwise(F.col("seq")))
+
+
+@query()
+def amrfinder(spark, d):
+    return M.allele_regions(alleles(spark, d)).select("chrom", "start", "stop", F.round("score", 6).alias("score"))
+
+
+@query()
+def amr_windows(spark, d):
+    return M.window_tests(alleles(spark, d), 10, 40).select("chrom", "w", "reads", F.round("score", 6).alias("score"))
+
+
+@query()
+def amrtester(spark, d):
+    spans = spark.range(0, 20).select(F.explode(F.array(F.lit("chrF"), F.lit("chrO"))).alias("chrom"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 8).alias("stop"))
+    return M.region_tests(spans, alleles(spark, d)).select("chrom", "start", "stop", "reads", F.round("score", 6).alias("score"))
+
+
+@query(V("SELECT chrom, pos, CAST(count(*) FILTER (sample = 'A') AS INTEGER) AS cases, CAST(count(*) FILTER (sample <> 'A') AS INTEGER) AS controls FROM sites WHERE n_reads >= 10 GROUP BY 1, 2", "sites"))
+def case_control(spark, d):
+    """Samples with enough reads, by the design's factor, from arrays of observations."""
+    obs = A.sites(spark, d).groupBy("chrom", "pos").agg(F.collect_list(F.struct("sample", "n_reads")).alias("obs"))
+    ok = lambda case: F.size(F.filter("obs", lambda x: ((x["sample"] == "A") == F.lit(case)) & (x["n_reads"] >= 10)))
+    return obs.select("chrom", "pos", ok(True).alias("cases"), ok(False).alias("controls")).where("cases + controls > 0")

@@ -1 +1,154 @@
-"""Queries to come."""
+"""Queries over reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cytoframe.catalog import query
+from cytoframe.catalog.sites import CYTOSINES
+from cytoframe.catalog.sql import RATIOS, V, counters
+from cytoframe.operators import levels as L
+from cytoframe.operators import reads as R
+from cytoframe.operators import sites as S
+from cytoframe.sources import adapters as A
+
+#: Bases of reads: place in the read, reference position, and base as sequenced.
+BASES = ", b AS (SELECT qname, chrom, strand, j AS fpos, CASE WHEN strand = '+' THEN pos + j ELSE pos + length(seq) - 1 - j END AS rpos, seq[j + 1] AS o FROM (SELECT *, unnest(range(0, length(seq))) AS j FROM reads))"
+CYT = f", c AS MATERIALIZED ({CYTOSINES})"
+PER = ", d AS (SELECT chrom, rpos, " + ", ".join(f"count(*) FILTER (strand = '{s}' AND o = '{x}') AS {n}{x}" for s, n in (("+", "p"), ("-", "n")) for x in "ACGT") + " FROM b GROUP BY 1, 2)"
+COUNTS = PER + """, k AS (SELECT c.chrom, c.pos, c.strand, coalesce(CASE WHEN c.strand = '+' THEN pC ELSE nC END, 0) AS n_meth, coalesce(CASE WHEN c.strand = '+' THEN pC + pT ELSE nC + nT END, 0) AS n_reads,
+    c.context || CASE WHEN coalesce(CASE WHEN c.strand = '+' THEN 2 * nG < nA + nC + nG + nT ELSE 2 * pG < pA + pC + pG + pT END, false) THEN 'x' ELSE '' END AS context FROM c LEFT JOIN d ON c.chrom = d.chrom AND c.pos = d.rpos)"""
+
+
+def calls(spark, d, covered_only=False):
+    return R.counts(A.reads(spark, d), S.cytosines(A.genome(spark, d)), covered_only)
+
+
+@query(V(BASES + CYT + COUNTS + " SELECT chrom, pos, strand, context, n_meth, n_reads FROM k WHERE n_reads > 0", "genome", "reads"))
+def counts_covered(spark, d):
+    return calls(spark, d, True)
+
+
+@query(V(BASES + CYT + COUNTS + " SELECT chrom, strand, context, count(*) AS sites, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_reads) AS BIGINT) AS n_reads FROM k GROUP BY 1, 2, 3", "genome", "reads"))
+def counts(spark, d):
+    """All cytosines, summed by chromosome, strand and context."""
+    return calls(spark, d).groupBy("chrom", "strand", "context").agg(F.count(F.lit(1)).alias("sites"), F.sum("n_meth").alias("n_meth"), F.sum("n_reads").alias("n_reads"))
+
+
+INDEX = ", ix AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM (SELECT chrom, CAST(p - 1 AS BIGINT) AS pos FROM (SELECT chrom, seq, unnest(range(1, length(seq))) AS p FROM genome) WHERE seq[p:p + 1] = 'CG'))"
+
+
+@query(V(BASES + INDEX + ", s AS (SELECT qname, b.chrom, i, CASE WHEN o IN ('C', 'T') THEN o ELSE 'N' END AS st FROM b JOIN ix ON ix.chrom = b.chrom AND ix.pos = CASE WHEN strand = '-' THEN rpos - 1 ELSE rpos END) SELECT qname, chrom, min(i) AS pos, string_agg(st, '' ORDER BY i) AS seq FROM s GROUP BY 1, 2 HAVING count(*) FILTER (st <> 'N') > 0", "genome", "reads"))
+def states(spark, d):
+    return R.states(A.reads(spark, d), R.cpg_index(A.genome(spark, d)))
+
+
+HITS = CYT + ", h AS (SELECT fpos, b.strand, o FROM b JOIN c ON c.chrom = b.chrom AND c.pos = b.rpos AND c.strand = b.strand WHERE c.context <> 'CpG')"
+RATES = """CAST(count(*) FILTER (strand = '+' AND o IN ('C', 'T')) AS BIGINT) AS total_plus, count(*) FILTER (strand = '+' AND o = 'T') AS converted_plus, count(*) FILTER (strand = '-' AND o IN ('C', 'T')) AS total_minus, count(*) FILTER (strand = '-' AND o = 'T') AS converted_minus,
+    count(*) FILTER (o IN ('C', 'T')) AS total, count(*) FILTER (o = 'T') AS converted, count(*) FILTER (o IN ('A', 'G')) AS errors, count(*) AS valid,
+    round(CAST(count(*) FILTER (strand = '+' AND o = 'T') AS DOUBLE) / greatest(1, count(*) FILTER (strand = '+' AND o IN ('C', 'T'))), 6) AS rate_plus, round(CAST(count(*) FILTER (strand = '-' AND o = 'T') AS DOUBLE) / greatest(1, count(*) FILTER (strand = '-' AND o IN ('C', 'T'))), 6) AS rate_minus,
+    round(CAST(count(*) FILTER (o = 'T') AS DOUBLE) / greatest(1, count(*) FILTER (o IN ('C', 'T'))), 6) AS rate, round(CAST(count(*) FILTER (o IN ('A', 'G')) AS DOUBLE) / greatest(1, count(*)), 6) AS error_rate"""
+
+
+def conversion(spark, d):
+    return R.conversion(A.reads(spark, d), A.genome(spark, d))
+
+
+@query(V(BASES + HITS + f" SELECT CAST(fpos AS BIGINT) AS fpos, {RATES} FROM h GROUP BY 1", "genome", "reads"))
+def bsrate(spark, d):
+    return R.conversion_rates(conversion(spark, d), ("fpos",))
+
+
+@query(V(BASES + HITS + f" SELECT {RATES} FROM h", "genome", "reads"))
+def bsrate_summary(spark, d):
+    return R.conversion_rates(conversion(spark, d))
+
+
+@query(V(BASES + HITS + ", r AS (SELECT fpos, strand, count(*) FILTER (o IN ('C', 'T')) AS total, count(*) FILTER (o = 'T') AS t FROM h GROUP BY 1, 2) SELECT CAST(fpos AS BIGINT) AS fpos, CAST(sum(total) AS BIGINT) AS total, round(CAST(sum(t) AS DOUBLE) / greatest(1, sum(total)), 6) AS rate FROM r GROUP BY 1", "genome", "reads"))
+def merge_bsrate(spark, d):
+    """The reports of the two strands, merged."""
+    parts = conversion(spark, d).select("fpos", "total", (F.col("converted").cast("double") / F.greatest(F.lit(1), "total")).alias("rate"))
+    return R.merge_rates(parts)
+
+
+@query(V("SELECT chrom, start, stop, strand, count(*) AS copies, min(read) AS first_read FROM alignments GROUP BY 1, 2, 3, 4", "alignments"))
+def uniq(spark, d):
+    return R.duplicate_groups(A.alignments(spark, d))
+
+
+@query(V("SELECT copies, count(*) AS reads FROM (SELECT count(*) AS copies FROM alignments GROUP BY chrom, start, stop, strand) GROUP BY 1", "alignments"))
+def uniq_histogram(spark, d):
+    """Of the reads that are kept, one of each group at random: how many stand for so many copies."""
+    return R.unique_reads(A.alignments(spark, d)).groupBy("copies").agg(F.count(F.lit(1)).alias("reads"))
+
+
+@query(V("SELECT CAST(sum(n) AS BIGINT) AS reads_in, count(*) AS reads_out, count(*) FILTER (n > 1) AS duplicated, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS in_groups FROM (SELECT count(*) AS n FROM alignments GROUP BY chrom, start, stop, strand)", "alignments"))
+def uniq_stats(spark, d):
+    return R.duplicate_stats(A.alignments(spark, d))
+
+
+MATES = "SELECT page_id, regexp_replace(translate(lower(url), 'etaoinshrdlu', 'CGTACGTACGTA'), '[^ACGT]', '', 'g') AS s1, regexp_replace(translate(lower(html), 'etaoinshrdlu', 'CGTACGTACGTA'), '[^ACGT]', '', 'g') AS s2 FROM pages"
+
+
+def mates(spark, d):
+    """Two ends of fragments; every second pair is a hairpin of its first end."""
+    letters = lambda c: F.regexp_replace(F.translate(F.lower(c), "etaoinshrdlu", "CGTACGTACGTA"), "[^ACGT]", "")
+    rows = A.table(spark, d, "pages").select(F.col("page_id").alias("name"), letters("url").alias("seq1"), letters("html").alias("seq2"))
+    return rows.withColumn("seq2", F.when(F.col("name") % 2 == 0, F.translate("seq1", "TG", "CA")).otherwise(F.col("seq2")))
+
+
+@query(f"""WITH m AS ({MATES}), p AS (SELECT page_id, s1, CASE WHEN page_id % 2 = 0 THEN translate(s1, 'TG', 'CA') ELSE s2 END AS s2 FROM m), x AS (SELECT page_id, s1[j] AS a, s2[j] AS b FROM (SELECT *, unnest(range(1, least(length(s1), length(s2)) + 1)) AS j FROM p WHERE length(s1) >= 20 AND length(s2) >= 20))
+    SELECT page_id AS name, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (a = b OR a || b IN ('TC', 'GA')) AS INTEGER) AS matching, round(CAST(count(*) FILTER (a = b OR a || b IN ('TC', 'GA')) AS DOUBLE) / count(*), 6) AS share,
+    least(19, 20 * count(*) FILTER (a = b OR a || b IN ('TC', 'GA')) // count(*)) AS bin, count(*) FILTER (a = b OR a || b IN ('TC', 'GA')) > 0.95 * count(*) AS hairpin FROM x GROUP BY 1""")
+def cleanhp(spark, d):
+    return R.hairpins(mates(spark, d))
+
+
+#: Logarithms of 0.495 / 0.25 and 0.25 / 0.005, the odds of the two models by base.
+@query(f"""WITH m AS ({MATES}), p AS (SELECT page_id AS name, 1 / (1 + exp(greatest(-500, least(500, ln(0.495 / 0.25) * n('A') + ln(0.25 / 0.005) * n('C') - ln(0.25 / 0.005) * n('G') - ln(0.495 / 0.25) * n('T'))))) AS t FROM m)
+    SELECT count(*) AS reads, round(avg(t), 6) AS fraction, CASE WHEN avg(t) > 0.9 THEN 'wgbs' WHEN avg(t) < 0.1 THEN 'pbat' ELSE 'rpbat' END AS protocol,
+    CASE WHEN avg(t) > 0.99 OR avg(t) < 0.01 OR (avg(t) > 0.2 AND avg(t) < 0.8) THEN 'high' ELSE 'low' END AS confidence FROM p""".replace("n('A')", "(length(s1) - length(replace(s1, 'A', '')))").replace("n('C')", "(length(s1) - length(replace(s1, 'C', '')))").replace("n('G')", "(length(s1) - length(replace(s1, 'G', '')))").replace("n('T')", "(length(s1) - length(replace(s1, 'T', '')))"))
+def guessprotocol(spark, d):
+    return R.guess_protocol(mates(spark, d).select("name", F.col("seq1").alias("seq")))
+
+
+@query(V("SELECT qname AS name, chrom, pos, '+' AS strand, length(seq) || 'M' AS cigar, seq, CAST(2 AS INTEGER) AS ends FROM reads WHERE length(seq) >= 10", "reads"))
+def format_mates(spark, d):
+    """Reads split into overlapping ends, and merged again."""
+    n, cut = F.length("seq"), F.floor(F.length("seq") * 0.6).cast("int")
+    rows = A.reads(spark, d).where("length(seq) >= 10")
+    one = rows.select(F.col("qname").alias("name"), F.lit(1).alias("end"), "chrom", "pos", F.lit("+").alias("strand"), F.concat(cut.cast("string"), F.lit("M")).alias("cigar"), F.substr("seq", F.lit(1), cut).alias("seq"))
+    two = rows.select(F.col("qname").alias("name"), F.lit(2).alias("end"), "chrom", (F.col("pos") + n - cut).alias("pos"), F.lit("-").alias("strand"), F.concat(cut.cast("string"), F.lit("M")).alias("cigar"), F.substr("seq", n - cut + 1, cut).alias("seq"))
+    return R.merge_mates(one.union(two))
+
+
+@query("SELECT CAST(k AS INTEGER) AS suffix, max(n) AS most FROM (SELECT k, left(name, length(name) - k) AS stem, count(*) AS n FROM (SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS name FROM conversations), range(0, 6) r(k) WHERE length(name) > k GROUP BY 1, 2) GROUP BY 1")
+def suffix_lengths(spark, d):
+    names = A.table(spark, d, "conversations").select(F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("name"))
+    return R.suffix_length(names)
+
+
+@query("SELECT 'chr' || l_linestatus AS chrom, l_partkey AS pos, CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, count(DISTINCT l_orderkey) AS n_reads, " + ", ".join(f"round(coalesce(sum(CAST(l_quantity * 5 AS BIGINT)) FILTER (l_linenumber % 2 = {k}), 0) / (255.0 * count(DISTINCT l_orderkey)), 6) AS {n}" for k, n in ((0, "hydroxy"), (1, "methyl"))) + " FROM lineitem GROUP BY 1, 2, 3")
+def counts_nano(spark, d):
+    rows = A.table(spark, d, "lineitem").select(F.concat(F.lit("chr"), "l_linestatus").alias("chrom"), F.col("l_partkey").alias("pos"), F.when(F.col("l_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.when(F.col("l_linenumber") % 2 == 0, "h").otherwise("m").alias("kind"), (F.col("l_quantity") * 5).cast("long").alias("prob"), F.col("l_orderkey").alias("read"))
+    return R.nano_counts(rows)
+
+
+@query()
+def modification_tags(spark, d):
+    """Reads with base-modification tags, parsed and summed."""
+    rows = A.reads(spark, d).select(F.col("qname").alias("read"), "chrom", "pos", "strand", "seq", F.lit("C+h,0,1;C+m,0,1;").alias("mm"), F.array(*map(F.lit, (10, 20, 200, 220))).alias("ml"))
+    return R.nano_counts(R.parse_modifications(rows))
+
+
+@query(V(BASES + CYT + COUNTS + f" SELECT {RATIOS} FROM (SELECT {counters()} FROM k)", "genome", "reads"))
+def many_levels(spark, d):
+    """Levels straight from reads, as one of the outputs that share a scan."""
+    rows = calls(spark, d)
+    return rows.agg(*L.counters()).select(*[F.round("total_meth", 6).alias(c) if c == "total_meth" else F.col(c) for c in L.RAW], *L.derived())
+
+
+@query(V(BASES + CYT + COUNTS + """, y AS (SELECT chrom, CASE WHEN strand = '-' THEN pos - 1 ELSE pos END AS pos, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_reads) AS BIGINT) AS n_reads FROM k WHERE context LIKE 'CpG%' GROUP BY 1, 2) SELECT * FROM y WHERE n_reads > 0""", "genome", "reads"))
+def many_sym(spark, d):
+    """Symmetric counts straight from reads."""
+    return S.symmetric(calls(spark, d)).select("chrom", "pos", "n_meth", "n_reads").where("n_reads > 0")

@@ -150,8 +150,8 @@ def xcounts_roundtrip(spark, d):
 
 
 CYTOSINES = """SELECT chrom, CAST(i - 1 AS BIGINT) AS pos, CASE WHEN b = 'C' THEN '+' ELSE '-' END AS strand,
-    CASE WHEN b = 'C' THEN CASE WHEN regexp_matches(down, '^CG') THEN 'CpG' WHEN regexp_matches(down, '^C[ACTN][ACTN]') THEN 'CHH' WHEN regexp_matches(down, '^C[ACTN]G') THEN 'CXG' ELSE 'CCG' END
-         ELSE CASE WHEN regexp_matches(up, 'CG$') THEN 'CpG' WHEN regexp_matches(up, '[AGTN][AGTN]G$') THEN 'CHH' WHEN regexp_matches(up, 'C[AGTN]G$') THEN 'CXG' ELSE 'CCG' END END AS context
+    CASE WHEN b = 'C' THEN CASE WHEN regexp_matches(down, '^CG') THEN 'CpG' WHEN regexp_matches(down, '^C[ACTN][ACTN]') THEN 'CHH' WHEN regexp_matches(down, '^C[ATN]G') THEN 'CXG' ELSE 'CCG' END
+         ELSE CASE WHEN regexp_matches(up, 'CG$') THEN 'CpG' WHEN regexp_matches(up, '[AGTN][AGTN]G$') THEN 'CHH' WHEN regexp_matches(up, 'C[ATN]G$') THEN 'CXG' ELSE 'CCG' END END AS context
     FROM (SELECT chrom, i, substr(seq, i, 1) AS b, substr(seq, i, 3) AS down, substr(seq, greatest(i - 2, 1), least(i, 3)) AS up FROM (SELECT chrom, seq, unnest(range(1, length(seq) + 1)) AS i FROM genome)) WHERE b IN ('C', 'G')"""
 
 
@@ -193,9 +193,9 @@ def unxcounts(spark, d):
 
 
 #: The check sums the tail as a product of binomials by logarithms of gamma functions.
-DIFF = """SELECT chrom, pos, round(sum(exp(lgamma(mb + ub) - lgamma(k + 1) - lgamma(mb + ub - k) + lgamma(ma + ua) - lgamma(ma + mb - k) - lgamma(ua - mb + k + 1)
+DIFF = """SELECT chrom, pos, round(sum(exp(lgamma(ma + ua) - lgamma(k + 1) - lgamma(ma + ua - k) + lgamma(mb + ub) - lgamma(ma + mb - k) - lgamma(ub - ma + k + 1)
     - lgamma(ma + ua + mb + ub - 1) + lgamma(ma + mb) + lgamma(ua + ub))), 6) AS score, ma - 1 AS meth_a, ua - 1 AS unmeth_a, mb - 1 AS meth_b, ub - 1 AS unmeth_b
-    FROM (SELECT *, unnest(range(greatest(0, mb - ua), mb)) AS k FROM (SELECT a.chrom, a.pos, a.n_meth + 1 AS ma, a.n_reads - a.n_meth + 1 AS ua, b.n_meth + 1 AS mb, b.n_reads - b.n_meth + 1 AS ub
+    FROM (SELECT *, unnest(range(greatest(0, ma - ub), ma)) AS k FROM (SELECT a.chrom, a.pos, a.n_meth + 1 AS ma, a.n_reads - a.n_meth + 1 AS ua, b.n_meth + 1 AS mb, b.n_reads - b.n_meth + 1 AS ub
     FROM sites a JOIN sites b ON a.sample = 'A' AND b.sample = 'R' AND a.chrom = b.chrom AND a.pos = b.pos)) GROUP BY chrom, pos, ma, ua, mb, ub"""
 
 

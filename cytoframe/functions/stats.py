@@ -34,6 +34,19 @@ def digamma(x) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
 
+def lgamma_wide(x) -> np.ndarray:
+    """Logarithm of gamma for whole arrays: recurrence up to 8 and Stirling's series."""
+    x = np.asarray(x, float)
+    shift = np.ones_like(x)
+    z = x.copy()
+    for _ in range(8):
+        low = z < 8
+        shift = np.where(low, shift * np.where(low, z, 1), shift)
+        z = np.where(low, z + 1, z)
+    r = 1 / (z * z)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z - np.log(shift)
+
+
 def inverse_digamma(y: float, tolerance: float = 1e-10) -> float:
     """Newton's steps from the usual start."""
     x = math.exp(y) + 0.5 if y >= -2.22 else -1 / (y + 0.5772156649015329)
@@ -62,7 +75,8 @@ def fit_beta(mean_log_p: float, mean_log_q: float, tolerance: float = 1e-10, rou
 
 def ln_beta_binomial(a: float, b: float, m: np.ndarray, u: np.ndarray) -> np.ndarray:
     n = m + u
-    return lgamma(n + 1) - lgamma(m + 1) - lgamma(u + 1) + ln_beta(m + a, u + b) - ln_beta(a, b)
+    choose = lgamma_wide(n + 1) - lgamma_wide(m + 1) - lgamma_wide(u + 1)
+    return choose + lgamma_wide(m + a) + lgamma_wide(u + b) - lgamma_wide(n + a + b) - float(ln_beta(a, b))
 
 
 def chi2_sf(x: float, df: int) -> float:
@@ -119,7 +133,7 @@ def fisher_two_sided(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray)
 
 
 def hypergeometric_greater(ma: np.ndarray, ua: np.ndarray, mb: np.ndarray, ub: np.ndarray) -> np.ndarray:
-    """Of counts with pseudo-counts: the probability that a's level is above b's, as a sum of hypergeometric terms."""
+    """Of counts with pseudo-counts: the probability that b's level is above a's, as a sum of hypergeometric terms."""
     out = np.zeros(len(ma))
     for i, (p, q, r, s) in enumerate(zip(ma.tolist(), ua.tolist(), mb.tolist(), ub.tolist(), strict=True)):
         k = np.arange(max(0, r - q), r)

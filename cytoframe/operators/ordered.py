@@ -87,12 +87,12 @@ def domains(rows: DataFrame, gap: int, state: Column) -> DataFrame:
     return runs.groupBy("chrom", "segment", "island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.count(F.lit(1)).alias("n")).drop("segment", "island")
 
 
-def ranked(values: DataFrame, p: str = "p") -> DataFrame:
-    """Distinct p-values with their number, rank of the last of equals, total and number of rows before.
+def ranked(values: DataFrame, p: str = "p", weight: Column | None = None) -> DataFrame:
+    """Distinct values, of 0 at least, with their number, the rank of the last of equals and the total; rows count by ``weight``.
 
     Equal values are counted before they are ordered, and ranks are summed by logarithmic bucket, so neither a common value nor the whole table is one task's.
     """
-    counts = values.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     counts = counts.withColumn("bucket", F.floor(F.log2(F.greatest("p", F.lit(1e-300))) * 64))
     totals = counts.groupBy("bucket").agg(F.sum("n").alias("inside"))  # 64 000 rows at most
     line = Window.partitionBy(F.lit(0)).orderBy("bucket")

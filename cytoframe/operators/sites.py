@@ -121,7 +121,7 @@ def cytosines(genome: DataFrame) -> DataFrame:
     found = cut.select("chrom", "at", "lead", "s", F.explode(F.expr("filter(sequence(1, n), i -> substr(s, i + lead, 1) in ('C', 'G'))")).alias("i"))
     at = lambda k: F.when(F.col("i") + F.col("lead") + k >= 1, F.substr("s", (F.col("i") + F.col("lead") + k).cast("int"), F.lit(1))).otherwise("")
     x = found.select("chrom", (F.col("at") + F.col("i") - 1).cast("long").alias("pos"), at(0).alias("b"), at(1).alias("n1"), at(2).alias("n2"), at(-1).alias("p1"), at(-2).alias("p2"))
-    tag = lambda n1, n2, mate, stop: F.when(F.col(n1) == mate, "CpG").when(F.col(n1).isin(*stop) & F.col(n2).isin(*stop), "CHH").when(F.col(n1).isin(*stop) & (F.col(n2) == mate), "CXG").otherwise("CCG")
+    tag = lambda n1, n2, mate, stop: F.when(F.col(n1) == mate, "CpG").when(F.col(n1).isin(*stop) & F.col(n2).isin(*stop), "CHH").when(F.col(n1).isin(*"ATN") & (F.col(n2) == mate), "CXG").otherwise("CCG")
     plus, minus = tag("n1", "n2", "G", "ACTN"), tag("p1", "p2", "C", "AGTN")
     return x.select("chrom", "pos", F.when(F.col("b") == "C", "+").otherwise("-").alias("strand"), F.when(F.col("b") == "C", plus).otherwise(minus).alias("context"))
 
@@ -150,5 +150,5 @@ def difference(a: DataFrame, b: DataFrame, pseudo: int = 1, nonzero_only: bool =
     both = pick(a, "a").join(pick(b, "b").drop("strand", "context"), ["chrom", "pos"])
     if nonzero_only:
         both = both.where((F.col("meth_a") + F.col("unmeth_a") > 0) & (F.col("meth_b") + F.col("unmeth_b") > 0))
-    score: Column = score_column("hypergeometric_greater", *[F.col(c) + pseudo for c in ("meth_a", "unmeth_a", "meth_b", "unmeth_b")])
+    score: Column = score_column("hypergeometric_greater", *[F.col(c) + pseudo for c in ("meth_b", "unmeth_b", "meth_a", "unmeth_a")])
     return both.withColumn("score", score)
