@@ -13,7 +13,7 @@ rejects them (at 4.5 standard deviations) with 0.000004.
 
 No group is expanded into its pairs. Equal word sequences become one class first. Members of a band are compared with
 one pivot; then only members that are still in different components are compared: all of them where a band holds
-few, else with the best-linked pivot, and last in blocks whose registers numpy compares without writing out pairs.
+few, else with the most central pivot, and last in blocks, where numpy compares pairs without writing them out.
 So every candidate pair is either compared or already connected: nothing is capped.
 
 Everything that is kept between steps is a table in the shared folder; the driver sees counts only.
@@ -46,7 +46,9 @@ SEEDS = wordscan.mixed(np.arange(1, REGISTERS + 1, dtype=U) * U(0x9E3779B97F4A7C
 #: Pairs with an estimate below this cannot be expected to reach the threshold.
 LEAST = PERCENT / 100 - 4.5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 #: Bands with at most this many members are compared pair by pair; larger ones in blocks of about BLOCK.
-FEW, BLOCK = 32, 512
+FEW, BLOCK, BLOCK_SIZE = 32, 1024, 4_000_000
+#: Rounds of comparing the members of large bands with one pivot, at most, before blocks.
+CENTRES = 2
 
 
 def shingle_set(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -104,11 +106,14 @@ def collision(level: int, load: int) -> float:
     return float((p * p).sum())
 
 
-def estimate(a: np.ndarray, b: np.ndarray, level: np.ndarray, n: np.ndarray) -> np.ndarray:
+def chance(level: int, n: int) -> float:
+    return collision(level, min(40, max(1, round(n / 2**level))))
+
+
+def estimate(a: np.ndarray, b: np.ndarray, chance: np.ndarray | float) -> np.ndarray:
     """Jaccard estimates from registers (rows of a and b), corrected for chance collisions."""
     filled = ((a != EMPTY) | (b != EMPTY)).sum(-1)
     equal = ((a == b) & (a != EMPTY)).sum(-1)
-    chance = np.array([collision(int(p), max(1, round(m / 2 ** int(p)))) if m < 5000 else collision(TOP, 40) for p, m in zip(level, n, strict=True)])
     return (equal / np.maximum(filled, 1) - chance) / (1 - chance)
 
 
@@ -154,7 +159,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def in_bands(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node) of every band of every node."""
+    """Rows (key, level, node) of every band of every node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +168,11 @@ def in_bands(nodes: DataFrame) -> DataFrame:
                 has = batch.column(level).is_valid().to_numpy(zero_copy_only=False)
                 if has.any():
                     r = np.frombuffer(b"".join(batch.column(registers).drop_null().to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                    rows, keys = band_keys(r, batch.column(level).drop_null().to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[has][rows])], names=["key", "node"])
+                    p = batch.column(level).drop_null().to_numpy()
+                    rows, keys = band_keys(r, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p[rows]), pa.array(node[has][rows])], names=["key", "level", "node"])
 
-    return nodes.select("node", "p1", "r1", "p2", "r2").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "p1", "r1", "p2", "r2").mapInArrow(run, "key long, level int, node long")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -182,7 +188,8 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
-                good = pa.array(estimate(ra, rb, batch.column(3).to_numpy(), batch.column(2).to_numpy()) >= LEAST)
+                by_chance = np.array([chance(p, n) for p, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+                good = pa.array(estimate(ra, rb, by_chance) >= LEAST)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return chosen.mapInArrow(run, "a long, b long")
@@ -214,10 +221,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, node, root, size) of the bands whose members are in more than one component."""
-    rows = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    """Rows (key, level, pivot, node, root, size) of the bands whose members are in more than one component."""
+    rows = members.join(roots, "node", "left").select("key", "level", "pivot", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    return rows.join(open_keys.select("key", "size"), "key").select("key", "node", "root", "size")
+    return rows.join(open_keys.select("key", "size"), "key").select("key", "level", "pivot", "node", "root", "size")
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
@@ -226,46 +233,61 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))).select(F.col("node").alias("a"), "b").distinct()
 
 
-def by_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of large bands that lie in different components and whose registers allow the threshold.
+def centres(rows: DataFrame) -> DataFrame:
+    """Pairs of the members of large bands with one pivot of the band, in other components: the member that shares most bands with most others.
+
+    The document that others were copied from shares more bands with them than they share with each other.
+    """
+    weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
+    ranked = rows.join(weight, "node")
+    best = ranked.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("weight", -F.col("node"))).alias("best"))
+    return ranked.join(best, "key").where("root <> best.root").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
+
+
+def by_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components inside large bands.
 
-    A band is dealt into blocks, and each two blocks meet in one group of about 2 * BLOCK rows; numpy compares registers there.
+    Bands with the same pivot, which mostly hold the same documents, are taken together. Their members are dealt into blocks of BLOCK rows, or of BLOCK_SIZE
+    shingles, and each two blocks meet in one group. There numpy finds the pairs that share a band and whose registers allow the threshold, and
+    compares their full sets. Pairs are not written out: a link joins components within the group, and pairs inside a component are
+    passed over, so a group gives fewer links than it has rows.
     """
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("pivot", "level", "node", "root").distinct().join(sets, "node")
+    sizes = rows.groupBy("pivot", "level").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SIZE)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["pivot", "level"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("key", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    wide = meet.join(nodes.select("node", "n", "p1", "r1", "p2", "r2"), "node")
+    registers = F.when(F.col("p1") == F.col("level"), F.col("r1")).otherwise(F.col("r2"))
+    wide = meet.select("pivot", "level", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", registers.alias("r"), "members")
 
     def run(table: pa.Table) -> pa.Table:
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        node, root, own, n = (table.column(c).to_numpy() for c in ("node", "root", "own", "n"))
-        found: list[np.ndarray] = []
-        for p in range(TOP + 1):
-            at, registers = [], []
-            for level, r in (("p1", "r1"), ("p2", "r2")):
-                has = np.flatnonzero((table.column(level).fill_null(-1)).to_numpy() == p)
-                if len(has):
-                    at.append(has)
-                    registers.append(np.frombuffer(b"".join(table.column(r).take(pa.array(has)).to_pylist()), np.uint16).reshape(-1, REGISTERS))
-            if not at:
+        x, y, level = (table.column(c)[0].as_py() for c in ("x", "y", "level"))
+        node, own, n = (table.column(c).to_numpy() for c in ("node", "own", "n"))
+        part = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        regs = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        bands = regs.view(U)
+        lists = table.column("members").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        right, a, b = own == y, [], []
+        for i in np.flatnonzero(own == x):
+            j = np.flatnonzero(right & (part != part[i]))
+            j = j[j > i] if x == y else j
+            j = j[100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])]
+            if not len(j):
                 continue
-            place, regs = np.concatenate(at), np.concatenate(registers)
-            left, right = own[place] == x, own[place] == y
-            for i in np.flatnonzero(left):
-                j = np.flatnonzero(right & (root[place] != root[place[i]]))
-                if x == y:
-                    j = j[j > i]
-                m, k = n[place[j]], n[place[i]]
-                j = j[100 * np.minimum(m, k) >= PERCENT * np.maximum(m, k)]
-                if len(j):
-                    e = estimate(regs[i][None], regs[j], np.full(len(j), p), np.full(len(j), k))
-                    hit = j[e >= LEAST]
-                    if len(hit):
-                        found.append(np.stack([np.full(len(hit), node[place[i]]), node[place[hit]]]))
-        ab = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": ab.min(0) if ab.size else ab[0], "b": ab.max(0) if ab.size else ab[1]})
-
-    return wide.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+            j = j[((bands[j] == bands[i]) & (bands[i] != np.iinfo(np.uint64).max)).any(1)]
+            j = j[estimate(regs[i][None], regs[j], chance(level, int(n[i]))) >= LEAST]
+            mine = flat[at[i] : at[i + 1]]
+            for k in j:
+                if part[k] != part[i]:
+                    theirs = flat[at[k] : at[k + 1]]
+                    shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    if 100 * shared >= PERCENT * (len(mine) + len(theirs) - shared):
+                        a.append(min(node[i], node[k]))
+                        b.append(max(node[i], node[k]))
+                        part[part == part[k]] = part[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return wide.groupBy("pivot", "level", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -277,31 +299,33 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     bands = in_bands(nodes)
     tops = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
-    members = settle(in_bands(nodes).join(tops, "key").select("key", "node", "pivot"), "near-members")
+    members = settle(in_bands(nodes).join(tops, "key"), "near-members")
     first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = settle(possible(first, nodes), "near-first")
 
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("_rep"), F.col("cls").alias("_cls"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"rep": "_rep", "cls": "_cls"})
     d, w = docs.select("doc_id", "text").alias("d"), wanted.alias("w")
-    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w._rep"))).select("w.node", "w._cls", "d.text")
-    schema = texts.select("node", "_cls").schema.add("same", "boolean").add("members", ArrayType(LongType()))
-    sets = scanned(texts, ["node", "_cls"], schema, lambda h, s, more: (word_class(h) == more["_cls"], s.view(np.int64)))
-    sets = settle(sets.where("same").select("node", "members"), "near-sets")
+    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w._rep"))).select("w.node", "w._cls", "w.n", "w.p1", "w.r1", "w.r2", "d.text")
+    kept = ["node", "_cls", "n", "p1", "r1", "r2"]
+    schema = texts.select(*kept).schema.add("same", "boolean").add("members", ArrayType(LongType()))
+    sets = scanned(texts, kept, schema, lambda h, s, more: (word_class(h) == more["_cls"], s.view(np.int64)))
+    sets = settle(sets.where("same").drop("_cls", "same"), "near-sets")
 
     edges = settle(confirmed(first, sets), "near-links")
     roots = settle(components(edges), "near-roots")
-    rest = settle(unresolved(members.select("key", "node"), roots), "near-rest")
-    if not rest.where(F.col("size") > FEW).isEmpty():
-        degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        large = rest.where(F.col("size") > FEW).join(degree, "node", "left").withColumn("rank", F.coalesce("degree", F.lit(0)))
-        best = large.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("rank", -F.col("node"))).alias("best"))
-        star = large.join(best, "key").where("root <> best.root").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
-        edges = settle(edges.union(confirmed(possible(star, nodes), sets)).distinct(), "near-links")
+    rest = settle(unresolved(members, roots), "near-rest")
+    for _ in range(CENTRES):
+        large = rest.where(F.col("size") > FEW)
+        if large.isEmpty():
+            break
+        new = settle(confirmed(possible(centres(large), nodes), sets), "near-links")
+        if new.isEmpty():
+            break
+        edges = settle(edges.union(new), "near-links")
         roots = settle(components(edges), "near-roots")
-        rest = settle(unresolved(members.select("key", "node"), roots), "near-rest")
-    few = possible(pairs_of(rest.where(F.col("size") <= FEW)), nodes)
-    many = by_blocks(rest.where(F.col("size") > FEW), nodes)
-    more = settle(confirmed(few.union(many).distinct(), sets), "near-links")
+        rest = settle(unresolved(members, roots), "near-rest")
+    few = confirmed(possible(pairs_of(rest.where(F.col("size") <= FEW)), nodes), sets)
+    more = settle(few.union(by_blocks(rest.where(F.col("size") > FEW), sets)), "near-links")
     if not more.isEmpty():
         roots = settle(components(edges.union(more)), "near-roots")
 
