@@ -92,19 +92,18 @@ def roi(spark, d):
     return L.by_interval(A.intervals(spark, d).drop("strand"), one(spark, d))
 
 
-def roi_over(n: int, span: int):
-    """A query over the first ``n`` intervals by id, spread over ``span`` positions, for the benchmark."""
+def first_beds(spark, d, n: int, span: int) -> DataFrame:
+    """The first ``n`` intervals by number, spread over ``span`` positions, for the benchmark's sweep."""
+    return A.intervals(spark, d, span).where(F.regexp_extract("name", r"(\d+)", 1).cast("long") <= n).drop("strand")
 
-    def run(spark, d):
-        rows = A.intervals(spark, d, span).where(F.regexp_extract("name", r"(\d+)", 1).cast("long") <= n)
-        return L.by_interval(rows.drop("strand"), one(spark, d))
 
-    return run
+def roi_over(n: int, span: int):
+    return lambda spark, d: L.by_interval(first_beds(spark, d, n, span), one(spark, d))
 
 
-def roi_naive(spark, d, span: int):
+def roi_naive(spark, d, n: int, span: int):
     """The same without bins: a hash join on the chromosome with the range as a filter. For comparison in the benchmark."""
-    i, s = A.intervals(spark, d, span).drop("strand"), one(spark, d)
+    i, s = first_beds(spark, d, n, span), one(spark, d)
     hit = (i.chrom == s.chrom) & (s.pos >= i.start) & (s.pos < i.stop)
     return i.join(s.withColumnRenamed("strand", "s"), hit, "left").groupBy(i.chrom, "start", "stop", "name").agg(*L.counters())
 

@@ -1 +1 @@
-"""Subpackage of cytoframe."""
+"""Incremental forms of operators whose state merges."""
