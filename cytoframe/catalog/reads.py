@@ -71,6 +71,17 @@ def merge_bsrate(spark, d):
     return R.merge_rates(parts)
 
 
+@query(V(BASES + CYT + ", h AS (SELECT qname, b.chrom, o FROM b JOIN c ON c.chrom = b.chrom AND c.pos = b.rpos AND c.strand = b.strand WHERE c.context <> 'CpG' AND o IN ('C', 'T')), r AS (SELECT count(*) AS n, count(*) FILTER (o = 'T') AS t FROM h GROUP BY qname, chrom) SELECT least(19, t * 20 // n) AS bin, count(*) AS reads FROM r GROUP BY 1", "genome", "reads"))
+def bsrate_histogram(spark, d):
+    return R.conversion_histogram(A.reads(spark, d), A.genome(spark, d))
+
+
+@query(V("SELECT qname, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq, CASE WHEN length(seq) % 2 = 0 THEN 'T' ELSE 'A' END AS conversion FROM reads", "reads"))
+def flip_conversion(spark, d):
+    rows = A.reads(spark, d).withColumn("conversion", F.when(F.length("seq") % 2 == 0, "A").otherwise("T"))
+    return R.flip_conversion(rows).select("qname", "strand", "seq", "conversion")
+
+
 @query(V("SELECT chrom, start, stop, strand, count(*) AS copies, min(read) AS first_read FROM alignments GROUP BY 1, 2, 3, 4", "alignments"))
 def uniq(spark, d):
     return R.duplicate_groups(A.alignments(spark, d))

@@ -104,3 +104,21 @@ def kmer_wig(spark, d):
     """Lines of positions for each chromosome, less their declaration."""
     rows = T.format_wig(S.kmer_sites(A.genome(spark, d)))
     return rows.groupBy("chrom").agg((F.count(F.lit(1)) - 1).alias("lines"))
+
+
+@query(V("SELECT a.chrom, a.pos, round(CAST(a.n_meth AS DOUBLE) / a.n_reads, 3) AS score, a.n_meth AS meth_a, b.n_reads - b.n_meth AS unmeth_b FROM sites a JOIN sites b ON a.sample = 'A' AND b.sample = 'N' AND a.chrom = b.chrom AND a.pos = b.pos", "sites"))
+def methdiff_text(spark, d):
+    a, b = one(spark, d), one(spark, d, "N").select("chrom", "pos", F.col("n_meth").alias("mb"), F.col("n_reads").alias("nb"))
+    cells = ["chrom", F.col("pos").cast("string"), "strand", "context", F.round(F.col("n_meth") / F.col("n_reads"), 3).cast("string"), *[x.cast("string") for x in (F.col("n_meth"), F.col("n_reads") - F.col("n_meth"), F.col("mb"), F.col("nb") - F.col("mb"))]]
+    return T.parse_diffs(a.join(b, ["chrom", "pos"]).select(F.concat_ws("\t", *cells).alias("value"))).select("chrom", "pos", "score", "meth_a", "unmeth_b")
+
+
+@query(V("SELECT chrom AS from_chrom, pos AS from_pos, 'chr2' AS to_chrom, pos + 7 AS to_pos, strand AS to_strand FROM sites WHERE sample = 'A'", "sites"))
+def lift_index_text(spark, d):
+    return T.parse_lift_index(one(spark, d).select(F.concat_ws(" ", "chrom", F.col("pos").cast("string"), F.lit("chr2"), (F.col("pos") + 7).cast("string"), "strand").alias("value")))
+
+
+@query("SELECT 'chr' || c_custkey AS chrom, c_custkey * 10 AS size FROM customer")
+def sizes_text(spark, d):
+    rows = A.table(spark, d, "customer")
+    return T.parse_sizes(rows.select(F.concat(F.lit("chr"), F.col("c_custkey").cast("string"), F.lit("\t"), (F.col("c_custkey") * 10).cast("string")).alias("value")))

@@ -22,6 +22,6 @@ RATIOS = """total_sites, sites_covered, total_c, total_t, max_depth, mutations,
 #: CpG pairs of sample-wise sites by an outer join of the two strands: (sample, chrom, pos, context, n_meth, n_reads, strands).
 PAIRS = """SELECT coalesce(p.sample, m.sample) AS sample, coalesce(p.chrom, m.chrom) AS chrom, coalesce(p.pos, m.pos - 1) AS pos,
     CASE WHEN coalesce(p.context, '') LIKE '%x' OR coalesce(m.context, '') LIKE '%x' THEN 'CpGx' ELSE 'CpG' END AS context,
-    coalesce(p.n_meth, 0) + coalesce(m.n_meth, 0) AS n_meth, coalesce(p.n_reads, 0) + coalesce(m.n_reads, 0) AS n_reads, (CASE WHEN p.pos IS NULL THEN 0 ELSE 1 END + CASE WHEN m.pos IS NULL THEN 0 ELSE 1 END) AS strands
+    coalesce(p.n_meth, 0) + coalesce(m.n_meth, 0) AS n_meth, coalesce(p.n_reads, 0) + coalesce(m.n_reads, 0) AS n_reads, CAST(CASE WHEN p.pos IS NULL THEN 0 ELSE 1 END + CASE WHEN m.pos IS NULL THEN 0 ELSE 1 END AS BIGINT) AS strands
     FROM (SELECT * FROM sites WHERE strand = '+' AND context LIKE 'CpG%') p FULL JOIN (SELECT * FROM sites WHERE strand = '-' AND context LIKE 'CpG%') m
     ON p.sample = m.sample AND p.chrom = m.chrom AND p.pos = m.pos - 1"""

@@ -112,6 +112,20 @@ def conversion_rates(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return out.select(*keys, "total_plus", "converted_plus", ratio(F.col("converted_plus"), F.col("total_plus")).alias("rate_plus"), "total_minus", "converted_minus", ratio(F.col("converted_minus"), F.col("total_minus")).alias("rate_minus"), total.alias("total"), converted.alias("converted"), ratio(converted, total).alias("rate"), "errors", (total + F.col("errors")).alias("valid"), ratio(F.col("errors"), total + F.col("errors")).alias("error_rate"))
 
 
+def conversion_histogram(reads: DataFrame, genome: DataFrame, bins: int = 20) -> DataFrame:
+    """Reads by the share of their cytosines outside CpG that were converted: (bin, reads)."""
+    spine = S.cytosines(genome).where(~E.is_cpg())
+    hit = bases(reads).join(spine.select("chrom", F.col("pos").alias("rpos"), "strand"), ["chrom", "rpos", "strand"]).where(F.col("original").isin("C", "T"))
+    per = hit.groupBy("qname", "chrom").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("original") == "T", 1)).alias("converted"))
+    return per.groupBy(F.least(F.floor(F.col("converted") * bins / F.col("total")), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+def flip_conversion(reads: DataFrame, column: str = "conversion") -> DataFrame:
+    """A-rich reads as T-rich ones and the other way round: strand, sequence and tag (A or T) turn."""
+    turned = {"strand": F.when(F.col("strand") == "+", "-").otherwise("+"), "seq": E.reverse_complement("seq"), column: F.when(F.col(column) == "A", "T").otherwise("A")}
+    return reads.withColumns(turned)
+
+
 def merge_rates(reports: DataFrame) -> DataFrame:
     """Rates by place of several reports (fpos, total, rate), averaged by their totals."""
     out = reports.groupBy("fpos").agg(F.sum("total").alias("total"), F.sum(F.col("rate") * F.col("total")).alias("w"))

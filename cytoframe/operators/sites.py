@@ -142,6 +142,22 @@ def kmer_sites(genome: DataFrame, kmer: str = "CG", offset: int = 1) -> DataFram
     return found.select("chrom", (F.col("at") + F.col("i") - 1 + offset).cast("long").alias("pos"))
 
 
+def common_order(orders: Sequence[Sequence[str]]) -> list[str]:
+    """One order of chromosomes that agrees with all of the given ones, on the driver; raises where they contradict each other."""
+    before: dict[str, set[str]] = {}
+    for order in orders:
+        for i, c in enumerate(order):
+            before.setdefault(c, set()).update(order[max(0, i - 1) : i])
+    out: list[str] = []
+    while before:
+        free = next((c for c in before if not before[c] - set(out)), None)
+        if free is None:
+            raise ValueError("chromosome orders contradict each other")
+        out.append(free)
+        del before[free]
+    return out
+
+
 def difference(a: DataFrame, b: DataFrame, pseudo: int = 1, nonzero_only: bool = False) -> DataFrame:
     """Two conditions site by site: the probability that the level of ``a`` is above that of ``b``."""
     from cytoframe.operators.kernels import score_column

@@ -157,3 +157,17 @@ def test_adjustment_and_cutoff_by_hand(spark, seed):
     s = sorted(p)
     first = next((v for i, v in enumerate(s, 1) if v >= 0.3 * i / 200), None)
     assert O.step_up_cutoff(spark.createDataFrame([(v,) for v in p], "p double"), 0.3).first().cutoff == first
+
+
+def test_viterbi_by_enumeration_and_parameters_as_json():
+    r = np.random.default_rng(9)
+    model = H.Model(np.array([0.3, 0.5, 0.2]), r.dirichlet([1, 1, 1], 3), np.ones((1, 3, 2)), (0, 1, 2), np.zeros((3, 3), bool))
+    emit = np.log(r.random((8, 3)))
+    start, size = np.array([0, 4, 5]), np.array([4, 1, 3])
+    got = H.viterbi(model, emit, start, size)
+    for s, n in zip(start, size):
+        def weight(path, s=s):
+            return math.log(model.start[path[0]]) + sum(math.log(model.move[x, y]) for x, y in zip(path, path[1:])) + sum(emit[s + i, x] for i, x in enumerate(path))
+        assert tuple(got[s : s + n]) == max(itertools.product(range(3), repeat=int(n)), key=weight)
+    again = H.Model.from_json(model.to_json())
+    assert np.allclose(again.move, model.move) and again.tie == model.tie

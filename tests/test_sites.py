@@ -115,3 +115,12 @@ def test_recovered_restores_zeros(spark):
     known = spark.createDataFrame([("c", 3, 1, 4)], "chrom string, pos long, n_meth long, n_reads long")
     assert rows(S.recovered(known, spine), "chrom", "pos", "n_reads") == [("c", 0, 0), ("c", 1, 0), ("c", 3, 4), ("c", 4, 0)]
     assert S.recovered(known, spine, all_chroms=True).count() == 6
+
+
+def test_common_order_of_chromosomes():
+    assert S.common_order([["a", "c"], ["a", "b", "c"], ["c", "d"]]) == ["a", "b", "c", "d"]
+    try:
+        S.common_order([["a", "b"], ["b", "a"]])
+    except ValueError:
+        return
+    raise AssertionError
