@@ -34,8 +34,8 @@ from cytoframe.llm.settings import tokenizer_path
 
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the cache of pieces of text.
-CACHE = 400_000
+#: Entries of the cache of pieces of text and of that of pairs of tokens, some 50 MB each; pre-tokens get a third.
+CACHE = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,7 +61,7 @@ class ByteBpe:
         self.parts: dict[int, tuple[int, int, int]] = {}
         for (a, b), (r, whole) in self.rank.items():
             self.parts.setdefault(whole, (a, b, r))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.bytes |= {i: t.encode() for t, i in added.items()}
         self.size = {i: len(b) for i, b in self.bytes.items()}
         self.automaton = ahocorasick.Automaton()
@@ -103,11 +103,11 @@ class ByteBpe:
         return True
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 24 | b)
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.compatible(a, b)
+            known = self.pairs[a << 24 | b] = self.compatible(a, b)
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -134,7 +134,7 @@ class ByteBpe:
             if ids is None:
                 ids = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
                 if len(piece) < 64:
-                    if len(self.words) > CACHE:
+                    if len(self.words) > CACHE // 3:
                         self.words.clear()
                     self.words[piece] = ids
             out.append(ids)

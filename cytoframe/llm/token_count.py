@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cytoframe.llm.settings import tokenizer_path
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 300_000
 #: Tokens beyond which a text is over the limit.
 LIMIT = 4096
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
