@@ -287,6 +287,7 @@ def by_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
                         part[part == part[k]] = part[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    wide = wide.repartition("pivot", "level", "x", "y")  # else all blocks of a pivot would stay in the task that counted them
     return wide.groupBy("pivot", "level", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -349,9 +350,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     seen, classes = link(docs)
     kept = classes.where(F.col("component_id").eqNullSafe(F.col("class_id"))).select("cls", F.col("class_id").alias("keep_id"))
+    same = (F.col("cls") == F.col("_cls")) & F.col("keep_id").eqNullSafe(F.col("_id"))
+    rows = seen.where("n > 0").groupBy(F.col("cls").alias("_cls"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"))
+    kept = settle(kept.join(rows, same).select("cls", "keep_id", "rows"), "near-kept")
     columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("_id"), "text")
-    schema = packed.select("_row", "_id").schema.add("_cls", "binary").add("_n", "long")
-    marked = scanned(packed.select(F.col("_row").alias("row"), F.col("_id").alias("id"), "text"), ["row", "id"], schema, lambda h, s, _: (word_class(h), len(s)))
-    stay = marked.join(kept, (F.col("_cls") == F.col("cls")) & F.col("_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["_id", "_cls"])
-    return stay.select("_row.*").unionByName(marked.where("_n = 0").select("_row.*"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), "text")
+    schema = packed.select(F.col("row").alias("_row"), F.col("id").alias("_id")).schema.add("_cls", "binary").add("_n", "long")
+    marked = scanned(packed, ["row", "id"], schema, lambda h, s, _: (word_class(h), len(s)))
+    stay = marked.join(kept.where("rows = 1"), same, "left_semi").select("_row")
+    again = kept.where("rows > 1")
+    if not again.isEmpty():
+        stay = stay.union(marked.join(again, same, "left_semi").dropDuplicates(["_id", "_cls"]).select("_row"))
+    return stay.union(marked.where("_n = 0").select("_row")).select("_row.*")
