@@ -37,9 +37,13 @@ RULES = (
     ("long_words", "word_chars", "n_words", 8.0, 14.0),
     ("short_text", "20", "n_words", 0.5, 1.0),
 )
-#: What (bad, abstaining, good) votes are expected to be, of bad and of good documents, and the prior's weight in
-#: documents of the kind. A single telling rule leaves a mixture of two kinds undetermined; the weight settles it.
-PRIOR_BAD, PRIOR_GOOD, PRIOR_WEIGHT = (0.34, 0.16, 0.5), (0.01, 0.04, 0.95), (0.1, 1.0)
+#: A bad vote is expected to be right this often. Kinds of bad documents that a single rule sees leave its accuracy undetermined, so the expectation
+#: weighs as much as this many times the rule's own votes.
+ACCURACY, ACCURACY_WEIGHT = 0.98, 3
+#: Share of bad documents that some rule is expected to see.
+COVERAGE = 0.9
+#: Against a bad vote, the good vote of another rule counts this much log-odds at most: it looks for its own kind of flaw only.
+MOST_GOOD = 0.15
 #: Pseudo-documents, bad and good.
 PRIOR_KIND = (1.0, 4.0)
 ROUNDS = 40
@@ -99,23 +103,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def expect(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float, float]]]:
-    """EM over (votes, number of documents): prior log-odds of good, and each rule's log-odds of good by vote."""
-    m = len(RULES)
+def log_odds(bias: float, rates: list[tuple[float, float]], votes: tuple[int, ...]) -> float:
+    """Log-odds of good from votes, given each rule's log-odds by bad and by good vote."""
+    against = [rates[j][0] for j, x in enumerate(votes) if x == 0]
+    for_it = [rates[j][1] for j, x in enumerate(votes) if x == 2]
+    if against:
+        return bias + sum(against) + sum(min(r, MOST_GOOD) for r in for_it)
+    return bias + sum(for_it) - math.log(1 - COVERAGE)
+
+
+def expect(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
+    """EM over (votes, number of documents): prior log-odds of good, and each rule's log-odds of good by bad and by good vote.
+
+    For each rule the fit estimates how often its bad votes are right, and how much likelier a good vote is for good documents.
+    """
     good = [0.02 if 0 in v else 0.999 for v, _ in patterns]
     for _ in range(ROUNDS):
-        kinds = [PRIOR_KIND[0] + sum(n * (1 - g) for (_, n), g in zip(patterns, good, strict=True)), PRIOR_KIND[1] + sum(n * g for (_, n), g in zip(patterns, good, strict=True))]
-        rates = []
-        for j in range(m):
-            by = [[(1 + w * kind) * x for x in prior] for prior, w, kind in zip((PRIOR_BAD, PRIOR_GOOD), PRIOR_WEIGHT, kinds, strict=True)]
-            for (v, n), g in zip(patterns, good, strict=True):
-                by[0][v[j]] += n * (1 - g)
-                by[1][v[j]] += n * g
-            bad_rate, good_rate = ([x / sum(row) for x in row] for row in by)
-            odds = [math.log(q / p) for p, q in zip(bad_rate, good_rate, strict=True)]
-            rates.append((min(odds[0], 0.0), 0.0, max(odds[2], 0.0)))  # a vote never counts against its own meaning; no vote says nothing
+        weight = [(n * (1 - g), n * g) for (_, n), g in zip(patterns, good, strict=True)]
+        kinds = [k + sum(w[i] for w in weight) for i, k in enumerate(PRIOR_KIND)]
         bias = math.log(kinds[1] / kinds[0])
-        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, bias + sum(rates[j][x] for j, x in enumerate(v)))))) for v, _ in patterns]
+        rates = []
+        for j in range(len(RULES)):
+            bad_votes, good_votes = ([sum(w[i] for (v, _), w in zip(patterns, weight, strict=True) if v[j] == vote) for i in (0, 1)] for vote in (0, 2))
+            expected = ACCURACY_WEIGHT * (sum(bad_votes) + 1)
+            right = (bad_votes[0] + ACCURACY * expected) / (sum(bad_votes) + expected)
+            odds = math.log((good_votes[1] + 1) / (kinds[1] + 1)) - math.log((good_votes[0] + 1) / (kinds[0] + 1))
+            rates.append((math.log((1 - right) / right) - bias, max(odds, 0.0)))
+        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, log_odds(bias, rates, v))))) for v, _ in patterns]
     return bias, rates
 
 
@@ -128,10 +142,15 @@ def fit(counted: DataFrame):
 
 
 def posterior(model) -> Column:
+    """Probability of being good, as log_odds has it."""
     bias, rates = model
-    total = F.lit(bias)
-    for vote, rate in zip(votes(), rates, strict=True):
-        total = total + F.when(vote == 0, F.lit(rate[0])).when(vote == 2, F.lit(rate[2])).otherwise(0.0)
+    against = for_it = capped = F.lit(0.0)
+    for vote, (bad, good) in zip(votes(), rates, strict=True):
+        against = against + F.when(vote == 0, F.lit(bad)).otherwise(0.0)
+        for_it = for_it + F.when(vote == 2, F.lit(good)).otherwise(0.0)
+        capped = capped + F.when(vote == 2, F.lit(min(good, MOST_GOOD))).otherwise(0.0)
+    seen = F.array_contains(F.array(*votes()), 0)
+    total = F.lit(bias) + F.when(seen, against + capped).otherwise(for_it - math.log(1 - COVERAGE))
     return 1 / (1 + F.exp(-total))
 
 
