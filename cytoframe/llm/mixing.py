@@ -63,7 +63,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
 
 def shard_digits(rows: int) -> int:
     """Hexadecimal digits of the order that name a shard."""
-    digits = 1
+    digits = 0
     while 16**digits * SHARD_ROWS < rows:
         digits += 1
     return digits
