@@ -122,14 +122,13 @@ def scanned(docs: DataFrame, keep: list[str], schema, rows_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for i, w in wordscan.runs(batch.column(len(keep)), lower=True):
-                for t in range(len(w.first) - 1):
+                n, out = len(w.first) - 1, []
+                for t in range(n):
                     h = w.hashes[w.first[t] : w.first[t + 1]]
                     out.append(rows_of(h, shingle_set(h), {k: batch.column(j)[i + t].as_py() for j, k in enumerate(keep) if k.startswith("_")}))
-            columns = list(zip(*out, strict=True)) if out else [()] * (len(schema) - len(keep))
-            arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow[len(keep) :], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
+                arrays = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow[len(keep) :], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, n) for c in batch.columns[:-1]), *arrays], names=schema.names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
