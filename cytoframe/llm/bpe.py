@@ -34,8 +34,10 @@ from cytoframe.llm.settings import tokenizer_path
 
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the cache of pieces of text and of that of pairs of tokens, some 50 MB each; pre-tokens get a third.
-CACHE = 300_000
+#: Entries of the caches of pieces of text, of pre-tokens and of pairs of tokens: some 130 MB in all.
+CACHE, WORDS, PAIRS = 320_000, 80_000, 300_000
+#: Texts handled at once.
+SLICE = 1024
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,6 +73,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def reachable(self, token: int) -> bool:
@@ -105,7 +108,7 @@ class ByteBpe:
     def fits(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 24 | b)
         if known is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a << 24 | b] = self.compatible(a, b)
         return known
@@ -134,7 +137,7 @@ class ByteBpe:
             if ids is None:
                 ids = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
                 if len(piece) < 64:
-                    if len(self.words) > CACHE // 3:
+                    if len(self.words) > WORDS:
                         self.words.clear()
                     self.words[piece] = ids
             out.append(ids)
@@ -152,21 +155,23 @@ class ByteBpe:
 
     def _plain(self, text: str) -> bytes:
         first, *rest = SPACE_BEFORE.split(text) if DOUBLE.search(text) else text.split(" ")
-        known, packed = self.known, self.packed
+        known = self.known
         try:
-            return packed(first) + b"".join([known[c] for c in rest])
+            return self.packed(first) + b"".join([known[c] for c in rest])
         except KeyError:
-            out = [packed(first)]
-            for c in rest:
-                ids = known.get(c)
-                if ids is None:
-                    ids = packed(" " + c)
-                    if len(c) < 64:
-                        if len(known) > CACHE:
-                            known.clear()
-                        known[c] = ids
-                out.append(ids)
-            return b"".join(out)
+            return self.packed(first) + b"".join([self.known.get(c) or self.piece_ids(c) for c in rest])
+
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece after a space that the younger cache lacks. The cache has two generations: when the younger is full it becomes the older,
+        and what is met again moves up, so that common pieces stay."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.packed(" " + piece)
+        if len(piece) < 64:
+            if len(self.known) >= CACHE // 2:
+                self.older, self.known = self.known, {}
+            self.known[piece] = ids
+        return ids
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes
@@ -191,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n, ids, texts, all_ids = [], [], [], []
             for text in batch.column(len(keep)).to_pylist():
                 code = bpe.encode(text or "")

@@ -35,7 +35,9 @@ def test_ids_and_text(tokenizer):
 
 
 def test_the_cache_may_empty(tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE", 4)
+    monkeypatch.setattr(bpe, "WORDS", 2)
+    monkeypatch.setattr(bpe, "PAIRS", 2)
     own = bpe.ByteBpe(tokenizer_path("byte_bpe_50k.json"))
     t = "one two three four five six seven one two three"
     assert np.frombuffer(own.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
