@@ -31,7 +31,7 @@ RULES = (
     ("symbols", "n_symbols", "n_words", 0.02, 0.15),
     ("shouts", "n_shouts", "n_words", 0.1, 0.3),
     ("capitals", "n_capitals", "word_chars", 0.2, 0.5),
-    ("repeats", "n_repeat_words", "n_words", 0.1, 0.25),
+    ("repeats", "n_repeat_words", "n_words", 0.1, 0.3),
     ("stutters", "n_stutters", "n_words", 0.1, 0.25),
     ("lines", "n_dup_lines", "n_lines", 0.2, 0.5),
     ("long_words", "word_chars", "n_words", 8.0, 14.0),
