@@ -2,14 +2,17 @@
 
 A token is one of the corpus's most frequent words, or one of 64 shapes (length, alphabet, end and symbols) for
 all other words. The network predicts each token from the two tokens on either side: a table for each place in the window
-adds to a hidden layer, tanh, and two softmaxes give the token's group and its place in the group. The score
-of a document is the sum over all its tokens of the log-probability of the token given both sides.
+adds to a hidden layer, tanh, and two softmaxes give the token's group and its place in the group. A word that has
+only its shape as token has the probability of the shape times the word's share among the words of that shape, from the counts of
+all words of the corpus. The score of a document is the sum over all its words of the log-probability of the word given both sides.
 
 The corpus is read three times. Words of all documents are counted, which shuffles one row for each distinct word of a task;
-the vocabulary is the bounded top of that. Then each task trains the network on every token of its documents, from one
+the network's tokens are the bounded top of that, and the whole table, which grows with the corpus, gives the shares. Then each task trains the network on every token of its documents, from one
 common start, and the tasks' parameters are averaged, weighted by tokens: parameters are summed as fixed-point integers by a
 group-by, so the result doesn't depend on the order of tasks, and the driver gets one row for each parameter. It does depend on how
-the input is split into tasks. The last pass scores.
+the input is split into tasks. The last pass scores; it deals words without a token of their own to buckets by hash, each of which
+meets its part of the table of counts, and what a bucket adds to a document comes back in fixed point. The number of buckets grows with
+those words, so a bucket stays as large at any input size. A word that the table lacks (with a model of another corpus) counts as met once.
 
 Defined cases: null, empty and blank texts have no tokens, a sum of 0 and no mean; a null doc_id passes through;
 rows that repeat are scored alike; an empty table gives an empty result; texts of any length are read whole. Other
@@ -23,8 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cytoframe.llm import wordscan
 from cytoframe.llm.common import settle
@@ -33,6 +39,9 @@ GROUPS, SHAPES, HIDDEN, SIDE = 32, 64, 16, 2
 TOKENS = GROUPS * GROUPS
 PAD = TOKENS
 FIXED = 1 << 16
+#: Words of a bucket, about; fixed point of log counts; a word as a bucket gets it, and what it gives back for a text of a run.
+BUCKET, FINE = 2_000_000, 1 << 32
+WORD, ADDED = np.dtype([("h", "<u8"), ("at", "<u4")]), np.dtype([("at", "<u4"), ("v", "<i8")])
 #: Tokens of a training step, and of a scoring step; learning rate at the start.
 STEP, SCORED, RATE = 4096, 16384, 1.0
 _SYMBOL = np.zeros(256, np.int64)
@@ -68,8 +77,8 @@ class Vocabulary:
         return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts the words of all documents."""
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Counts the words of all documents; also gives the table of all counts (h, n, shape)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +98,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
         total[TOKENS - SHAPES + r["shape"]] -= r["n"]
     hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int64), total)
+    return Vocabulary(hashes[order], order.astype(np.int64), total), counts
 
 
 class Network:
@@ -211,25 +220,93 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
     return net
 
 
-def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: tuple[Vocabulary, np.ndarray] | None = None) -> DataFrame:
+def bytes_of(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the rows up to each end."""
+    offsets = np.append(0, ends) * rows.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def read_bytes(values: pa.ChunkedArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in binary values, and of each row the index of its value."""
+    parts = [x or b"" for x in values.to_pylist()]
+    return np.frombuffer(b"".join(parts), dtype), np.repeat(np.arange(len(parts)), [len(x) // dtype.itemsize for x in parts])
+
+
+def add_shares(scored: pa.Table, counts: pa.Table) -> pa.Table:
+    """One bucket: rows of documents as they are, and of each run's words the sums of log counts by text."""
+    of_doc = scored.filter(pa.compute.greater_equal(scored["_at"], 0))
+    words = scored.filter(pa.compute.less(scored["_at"], 0))
+    rows, run = read_bytes(words["_bytes"], WORD)
+    if not len(rows):
+        return of_doc
+    h, n = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(h)
+    h, value = h[order], np.rint(np.log(n[order]) * FINE).astype(np.int64)
+    v = np.zeros(len(rows), np.int64)  # a word that the table lacks is met once
+    if len(h):
+        at = np.minimum(np.searchsorted(h, rows["h"]), len(h) - 1)
+        v = np.where(h[at] == rows["h"], value[at], 0)
+    key = run.astype(np.int64) << 32 | rows["at"]  # ascending
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    out = np.empty(len(first), ADDED)
+    out["at"], out["v"] = rows["at"][first], np.add.reduceat(v, first)
+    ends = np.searchsorted(run[first], np.arange(words.num_rows), side="right")
+    k = words.schema.get_field_index("_bytes")
+    return pa.concat_tables([of_doc, words.set_column(k, words.schema.field(k), bytes_of(out, ends))])
+
+
+def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: tuple[Vocabulary, np.ndarray, DataFrame] | None = None) -> DataFrame:
     """``keep`` and n_tokens, log_likelihood and mean_log_likelihood of each document."""
     if model is None:
-        words = vocabulary(docs)
-        model = words, train(docs, words).flat
-    words, flat = model
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("log_likelihood", "double").add("mean_log_likelihood", "double")
+        words, counts = vocabulary(docs)
+        model = words, train(docs, words).flat, counts
+    words, flat, counts = model
+    kept = docs.select(*keep).schema
+    schema = StructType([*kept, *StructType().add("n_tokens", "long").add("log_likelihood", "double").add("mean_log_likelihood", "double")])
+    # rows of documents have their place _at in a run of texts; rows with words of a run have -1
+    inner = StructType([StructField(f"_k{i}", f.dataType) for i, f in enumerate(kept)]).add("_run", "long").add("_bucket", "long").add("_at", "integer").add("_n", "long").add("_sum", "double").add("_bytes", "binary")
+    in_shape = words.counts[TOKENS - SHAPES :]
+    buckets = max(1, -(-int(in_shape.sum()) // BUCKET))
+    less = np.zeros(TOKENS)
+    less[TOKENS - SHAPES :] = np.log(np.maximum(in_shape, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat)
+        net, number = Network(flat), TaskContext.get().partitionId() << 32
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for i, w in wordscan.runs(batch.column(len(keep)), lower=True):
                 context, token = windows(w, words)
                 log_p = np.concatenate([net.log_p(context[:, k : k + SCORED], token[k : k + SCORED]) for k in range(0, len(token), SCORED)] or [np.zeros(0)])
-                upto = np.concatenate([[0.0], np.cumsum(log_p, dtype=float)])
-                part = slice(i, i + len(w.first) - 1)
-                n[part], total[part] = np.diff(w.first), upto[w.first[1:]] - upto[w.first[:-1]]
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(total), mean], names=schema.names)
-
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+                upto = np.concatenate([[0.0], np.cumsum(log_p - less[token], dtype=float)])
+                n = len(w.first) - 1
+                shared = np.flatnonzero(token >= TOKENS - SHAPES)
+                bucket = (w.hashes[shared] >> np.uint64(33)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                met, ends = np.unique(bucket, return_counts=True)
+                rows = np.empty(len(shared), WORD)
+                rows["h"], rows["at"] = w.hashes[shared][order], np.repeat(np.arange(n), np.diff(w.first))[shared][order]
+                m = len(met)
+                columns = [
+                    *[pa.concat_arrays([c.slice(i, n), pa.nulls(m, c.type)]) for c in batch.columns[:-1]],
+                    pa.array(np.full(n + m, number)),
+                    pa.array(np.append(np.full(n, number % buckets), met)),
+                    pa.array(np.append(np.arange(n), np.full(m, -1)).astype(np.int32)),
+                    pa.array(np.append(np.diff(w.first), np.zeros(m, np.int64))),
+                    pa.array(np.append(upto[w.first[1:]] - upto[w.first[:-1]], np.zeros(m))),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), bytes_of(rows, np.cumsum(ends))]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=inner.names)
+                number += 1
+
+    def whole(rows: pa.Table) -> pa.Table:
+        of_doc = rows.filter(pa.compute.greater_equal(rows["_at"], 0)).sort_by("_at")
+        added, _ = read_bytes(rows["_bytes"], ADDED)
+        n, more = of_doc["_n"].to_numpy(), np.zeros(of_doc.num_rows, np.int64)
+        np.add.at(more, added["at"], added["v"])
+        total = of_doc["_sum"].to_numpy() + more / FINE
+        mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), mask=n == 0)
+        return pa.Table.from_arrays([*of_doc.columns[: len(keep)], pa.array(n), pa.array(total), mean], names=schema.names)
+
+    scored = docs.select(*keep, "text").mapInArrow(run, inner).groupBy("_bucket")
+    # words met once add nothing
+    table = counts.where("n > 1").select("h", "n", F.expr(f"shiftrightunsigned(h, 33) % {buckets}L").alias("_bucket")).groupBy("_bucket")
+    return scored.cogroup(table).applyInArrow(add_shares, inner).groupBy("_run").applyInArrow(whole, schema)

@@ -137,6 +137,25 @@ def test_language_model_prefers_the_language(spark):
     assert again == {i: g.log_likelihood for i, g in got.items()}
 
 
+@pytest.mark.parametrize("bucket", [500, 2_000_000])
+def test_rare_words_are_scored_by_their_share(spark, monkeypatch, bucket):
+    monkeypatch.setattr(masked_lm, "BUCKET", bucket)
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("etaoinsh") for _ in range(n))
+    common, known = [word(4) for _ in range(1500)], [word(7) for _ in range(300)]
+    rows = [(i, " ".join(r.choices(common, k=200))) for i in range(60)] + [(100 + i, " ".join(known)) for i in range(3)]
+    rows += [(200, " ".join(known[:50])), (201, " ".join(word(7) for _ in range(50))), (201, " ".join(known[:50]))]
+    got = masked_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    known_ll, *_ = [g.log_likelihood for g in got if g.doc_id == 200]
+    strange_ll, repeat_ll = sorted(g.log_likelihood for g in got if g.doc_id == 201)
+    n = {}
+    for _, t in rows:
+        for w in t.split():
+            n[w] = n.get(w, 0) + 1
+    want = sum(np.log(n[a]) - np.log(n[b]) for a, b in zip(rows[-3][1].split(), rows[-2][1].split()))
+    assert repeat_ll == known_ll and abs(known_ll - strange_ll - want) < 1e-4 and want > 50
+
+
 def test_masked_scores_by_hand():
     r = np.random.default_rng(4)
     net = masked_lm.Network.start(np.ones(masked_lm.TOKENS))
