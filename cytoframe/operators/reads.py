@@ -213,9 +213,9 @@ def merge_mates(rows: DataFrame, max_fragment: int = 10000) -> DataFrame:
     return rows.groupBy("name").applyInPandas(merge, "name string, chrom string, pos long, strand string, cigar string, seq string, ends int")
 
 
-def suffix_length(names: DataFrame, sample: int = 100000, longest: int = 5) -> DataFrame:
-    """Of name suffixes up to a length: the largest number of reads that share what is left. Two means it parts mates."""
-    rows = names.limit(sample).select("name", F.explode(F.sequence(F.lit(0), F.lit(longest))).alias("suffix")).where(F.length("name") > F.col("suffix"))
+def suffix_length(names: DataFrame, longest: int = 5) -> DataFrame:
+    """Of name suffixes up to a length: the largest number of reads that share what is left, of all names. Two means it parts mates."""
+    rows = names.select("name", F.explode(F.sequence(F.lit(0), F.lit(longest))).alias("suffix")).where(F.length("name") > F.col("suffix"))
     cut = rows.select("suffix", F.substr("name", F.lit(1), (F.length("name") - F.col("suffix")).cast("int")).alias("stem")).groupBy("suffix", "stem").count()
     return cut.groupBy("suffix").agg(F.max("count").alias("most"))
 

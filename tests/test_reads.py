@@ -72,3 +72,9 @@ def test_hairpins(spark):
     df = spark.createDataFrame([("h", "TTGACGTTTAGGTTGGACGT", "CTAACGTTTAGGTTGGACGT"), ("n", "A" * 25, "C" * 25), ("s", "A", "A")], "name string, seq1 string, seq2 string")
     got = {r.name: (r.matching, r.n, r.hairpin) for r in R.hairpins(df).collect()}
     assert got == {"h": (20, 20, True), "n": (0, 25, False)}
+
+
+def test_suffix_lengths_count_every_name(spark):
+    names = spark.range(120000).select(F.format_string("r%06d", "id").alias("name"))
+    got = {r.suffix: r.most for r in R.suffix_length(names, longest=6).collect()}
+    assert got == {0: 1, 1: 10, 2: 100, 3: 1000, 4: 10000, 5: 100000, 6: 120000}
