@@ -12,8 +12,8 @@ queries times rows, as asked, but what is shuffled is each block once for every
 block of rows; a task holds two blocks.
 
 Defined cases: vectors that are null, or hold null, NaN or infinite components, and rows without vec_id, take no part;
-missing trailing components count 0, so vectors of different lengths compare; the empty vector scores 0; rows that
-repeat a vec_id and its vector count once, and rows with the query's own vec_id are no candidates; queries with fewer
+missing trailing components count 0, so vectors of different lengths compare; the empty vector scores 0; every row is a
+candidate, repeated ones too, but for rows with the query's own vec_id; a query whose vec_id and whole numbers repeat answers once; queries with fewer
 than k candidates get all; an empty table gives an empty result; components beyond 2^22 in size count as 2^28 after
 scaling. Other columns are ignored.
 """
@@ -104,7 +104,8 @@ class ImpactIndex:
     def best(self, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
         """(query row, vector row, score) of the best k of each query, ties to the smaller id; rows with the query's own id are out."""
         out = []
-        own = np.bincount(np.searchsorted(np.unique(ids), ids)).max(initial=0) if len(ids) else 0
+        known = np.sort(ids)
+        own = int((np.searchsorted(known, query_ids, side="right") - np.searchsorted(known, query_ids)).max(initial=0))
         for start in range(0, len(queries), BATCH):
             q = queries[start : start + BATCH]
             alive = self.possible(q, k + own)  # own rows among the best don't displace others
@@ -128,12 +129,13 @@ def answer(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the best k of each query; queries are rows whose vec_id is divisible by ``every``."""
-    ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id", "v"])
+    ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null")
     total = vectors.count()
     blocks, query_blocks = -(-max(total, 1) // BLOCK), -(-max(total, 1) // (QUERIES * every))
-    ready = ready.withColumn("key", F.xxhash64("vec_id", "v"))
-    rows = ready.select("vec_id", "v", F.pmod("key", F.lit(blocks)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("y"))
-    queries = ready.where(F.col("vec_id") % every == 0).select("vec_id", "v", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("x"), F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(query_blocks)).cast("int").alias("y"))
+    # copies of a row are dealt to blocks like others
+    rows = ready.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("y"))
+    asked = ready.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("vec_id", "v"))
+    queries = asked.select("vec_id", "v", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("x"), F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(query_blocks)).cast("int").alias("y"))
     found = queries.groupBy("x", "y").cogroup(rows.groupBy("x", "y")).applyInArrow(lambda q, r: answer(r, q, k), RESULT)
     line = Window.partitionBy("query_key", "query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)

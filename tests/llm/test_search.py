@@ -44,6 +44,20 @@ def test_odd_vectors(spark):
     assert own(spark, []) == [] and own(spark, [(20, [1.0])]) == []
 
 
+@pytest.mark.parametrize("block", [10_000, 16])
+def test_repeated_rows_are_candidates(spark, monkeypatch, block):
+    monkeypatch.setattr(top_k, "BLOCK", block)
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(8)]) for i in range(60)]
+    rows += rows[41:60] * 3 + [(7, [x + 1e-9 for x in rows[7][1]])] * 30
+    ready = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = []
+    for i, v in ready[:60:20]:
+        found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ready if j != i)[:20]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    assert own(spark, rows) == sorted(want)
+
+
 def test_nothing_is_lost_by_stopping_early():
     r = np.random.default_rng(1)
     for scale in (3, 40, 1 << 22):
