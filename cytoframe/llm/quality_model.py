@@ -4,7 +4,8 @@ Features of the whole text are cut into bins. Cyclic boosting visits the feature
 features, and fits a shallow tree to the residuals of each; its leaves are added to a lookup table of the feature
 (or pair). A score is the sum of one table entry for each feature and pair, turned into a probability.
 
-Fitting takes a bounded sample of labelled documents, ``sample`` rows of the smallest hashes of doc_id, to the driver. Features are computed
+Fitting takes a bounded sample of labelled documents to the driver: the ``sample`` labels of the smallest hashes of doc_id, and for each doc_id
+among them one row of documents, that with the smallest hash of features. Nothing else is left out. Features are computed
 from whole texts in Arrow batches; scoring is a map without a shuffle; the tables are a few KB.
 
 Defined cases: null and empty texts have features of 0 and get the score of those; a null doc_id is not held out
@@ -206,16 +207,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     """Fit to labelled documents that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("quality").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)  # a bounded sample, taken by hash so that it doesn't follow any order
-    schema = "y int, " + ", ".join(f"f{j} double" for j in range(len(FEATURES)))
+    known = known.groupBy("doc_id").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    names = [f"f{j}" for j in range(len(FEATURES))]
+    schema = known.schema
+    for name in names:
+        schema = schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features_of(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T)], names=["y", *(f"f{j}" for j in range(x.shape[1]))])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(run, schema).limit(2 * sample).toPandas()
-    rows = rows.sort_values(list(rows.columns)).to_numpy(dtype=float)  # the fit doesn't depend on the order of tasks
-    return fit(rows[:, 1:], rows[:, 0])
+            x = features_of(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, x.T)], names=schema.names)
+
+    every = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "n0", "n1", "text").mapInArrow(run, schema)
+    one = every.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*names).alias("h"), "n0", "n1", *names)).alias("x"))
+    rows = one.select("x.n0", "x.n1", *[f"x.{name}" for name in names]).toPandas()  # ``sample`` rows at most
+    rows = rows.sort_values([*names, "n0", "n1"]).to_numpy(dtype=float)  # the fit doesn't depend on the order of tasks
+    x = np.concatenate([np.repeat(rows[:, 2:], rows[:, y].astype(int), axis=0) for y in (0, 1)])
+    return fit(x, np.repeat([0.0, 1.0], [int(rows[:, y].sum()) for y in (0, 1)]))
 
 
 def score_documents(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -69,6 +69,18 @@ def test_held_out_labels_are_not_read(spark):
     assert one == two
 
 
+def test_fit_meets_every_sampled_document_once(spark, monkeypatch):
+    rows, labels = documents(random.Random(6), 100)
+    known = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(known[0], f"{i} " * 30, "x") for i in range(1000)] + rows + [(i, t + " again", "x") for i, t, _ in rows] * 2, "doc_id long, text string, source string").coalesce(1)
+    got, fit = [], quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda x, y: got.append((x.tolist(), y.tolist())) or fit(x, y))
+    for order in (docs, docs.orderBy(docs.text.desc())):
+        quality_model.train(order, spark.createDataFrame(labels + labels[:1], "doc_id long, quality int"), 2 * len(labels))
+    assert len(got[0][1]) == len(known) + (labels[0][0] in known) and sum(got[0][1]) == sum(q for i, q in labels + labels[:1] if i in known)
+    assert got[0] == got[1]
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
