@@ -1,9 +1,12 @@
 """Mixing, quality rules and URL filters."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cytoframe.llm import mixing, quality_rules, url_filter
@@ -114,6 +117,121 @@ def test_rules_keep_clean_and_drop_junk(spark, share):
     assert all(got[i] == (i >= 200 * share) for i in got)
 
 
+def plain_em(docs):
+    """The fit document by document, without arrays: of each document the posterior of being good."""
+    m = len(quality_rules.RULES)
+    share = [[1.0] for _ in docs]
+    while True:
+        kinds = len(share[0])
+        for _ in range(quality_rules.ROUNDS):
+            size = [sum(s[k] for s in share) for k in range(kinds)]
+            more = [quality_rules.PRIOR_KIND[0 if k == 0 else 1] for k in range(kinds)]
+            kind = [(size[k] + more[k]) / (len(docs) + sum(more)) for k in range(kinds)]
+            chance = []
+            for k in range(kinds):
+                prior = quality_rules.PRIOR_BAD if k else quality_rules.PRIOR_GOOD
+                chance.append([[(sum(s[k] for s, d in zip(share, docs) if d[j] == v) + quality_rules.PRIOR * prior[v]) / (size[k] + quality_rules.PRIOR) for v in range(3)] for j in range(m)])
+            new = []
+            for d in docs:
+                p = [kind[k] * math.prod(chance[k][j][d[j]] for j in range(m)) for k in range(kinds)]
+                new.append([x / sum(p) for x in p])
+            moved = max(abs(a - b) for s, t in zip(share, new) for a, b in zip(s, t))
+            share = new
+            if moved < quality_rules.STILL:
+                break
+        best = (quality_rules.SURPRISE, None, None)
+        for i in range(m):
+            for j in range(i + 1, m):
+                seen = sum(d[i] == 0 and d[j] == 0 for d in docs)
+                expected = sum(sum(s[k] for s, d in zip(share, docs) if d[i] == 0) * sum(s[k] for s, d in zip(share, docs) if d[j] == 0) / max(sum(s[k] for s in share), 1e-300) for k in range(kinds))
+                if seen > expected and (x := seen * math.log(seen / max(expected, 1e-300)) - (seen - expected)) >= best[0]:
+                    best = (x, i, j) if x > best[0] or best[1] is None else best
+        if best[1] is None:
+            return [s[0] for s in share]
+        both = [d[best[1]] == 0 and d[best[2]] == 0 for d in docs]
+        share = [[x * (1e-3 if b else 1) for x in s] + [1 - 1e-3 if b else 0.0] for s, b in zip(share, both)]
+
+
+def drawn(r, n, noise=0.0):
+    """Made votes: two kinds of bad documents, each seen by two rules of three in four, and a rule (the last) that fires at random. (truth, votes)."""
+    out = []
+    for i in range(n):
+        kind = r.choices((0, 1, 2), (0.8, 0.12, 0.08))[0]
+        votes = [2 if r.random() < 0.9 else 1 for _ in quality_rules.RULES]
+        for j in ((), (0, 1, 2), (3, 4, 5))[kind]:
+            votes[j] = 0 if r.random() < 0.75 else votes[j]
+        for j in range(len(votes) - 1):
+            votes[j] = 0 if r.random() < 0.01 else votes[j]
+        votes[-1] = 0 if r.random() < noise else votes[-1]
+        out.append((kind == 0, tuple(votes)))
+    return out
+
+
+def posteriors(docs):
+    counted = sorted(Counter(docs).items())
+    kind, vote = quality_rules.expect(counted)
+    total = {p: [kind[k] + sum(vote[k][j][x] for j, x in enumerate(p)) for k in range(len(kind))] for p, _ in counted}
+    return {p: 1 / sum(math.exp(x - t[0]) for x in t) for p, t in total.items()}, len(kind)
+
+
+@pytest.mark.parametrize("noise", [0.05, 0.3, 0.6])
+def test_a_rule_that_fires_at_random_loses_its_say(noise):
+    r = random.Random(3)
+    docs = drawn(r, 4000, noise)
+    post, kinds = posteriors([v for _, v in docs])
+    assert kinds == 3
+    alone = [p for p in post if p[-1] == 0 and 0 not in p[:-1]]
+    assert len(alone) > 20 and all(post[p] >= 0.5 for p in alone)
+
+
+def test_posterior_beats_all_must_pass():
+    docs = drawn(random.Random(8), 4000, 0.1)
+    post, _ = posteriors([v for _, v in docs])
+    right = sum((post[v] >= 0.5) == good for good, v in docs)
+    # bad documents with one bad vote at most, 3 in 100 of all, can't be told from noise
+    assert right > 0.95 * len(docs) and right > sum((0 not in v) == good for good, v in docs) + 0.05 * len(docs)
+    assert any(0 in v and post[v] >= 0.5 for _, v in docs)
+
+
+def test_fit_agrees_with_plain_em():
+    docs = [v for _, v in drawn(random.Random(5), 250, 0.2)]
+    post, kinds = posteriors(docs)
+    assert kinds > 1
+    for d, want in zip(docs, plain_em(docs)):
+        assert abs(post[d] - want) < 1e-6
+
+
+def test_kept_follows_the_posterior_of_the_votes(spark):
+    r = random.Random(14)
+    kinds = [lambda w: w + "***", lambda w: w.upper() + "!!", lambda w: w + " |", lambda w: w]
+    rows = [(i, words(r, r.choice([10, 22, 30, 80]), kinds[min(3, r.randint(0, 12))])) for i in range(250)]
+    rows += [(i, rows[i][1]) for i in range(20)] + [(None, None), (None, "\n"), (7, words(r, 30000))]
+    got = quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = got.select("*", *[v.alias(f"v{j}") for j, v in enumerate(quality_rules.votes())]).collect()
+    assert len(got) == len(rows)
+    fit = [g for g in got if not g.base_failed]
+    want = plain_em([tuple(g[f"v{j}"] for j in range(len(quality_rules.RULES))) for g in fit])
+    assert all(abs(g.posterior - w) < 1e-6 and g.kept == (w >= 0.5) for g, w in zip(fit, want))
+    assert not any(g.kept for g in got if g.base_failed) and any(not g.kept for g in fit) and any(g.kept and g.v10 == 0 for g in fit)
+
+
+def test_further_counts(spark):
+    r = random.Random(21)
+    rows = [(i, "".join(r.choice(["ab ", "AB ", "ab! ", "x*** ", "| ", "é%. ", "ab\n", "'q' ", "a-b "]) for _ in range(r.randint(0, 60)))) for i in range(80)] + [(100, None)]
+    for g in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = dict(rows)[g.doc_id] or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        ends = sum(bool(regex.search(quality_rules.ODD_END.removesuffix(r"(?=\s|$)") + "$", x)) for x in w)
+        want = (len(lines), sum("A" <= c <= "Z" for c in t), t.count("!"), sum(a == b for a, b in zip(w, w[1:])), len(set(w)), len(re.findall(r"[#*$%&|<>]+", t)), ends)
+        assert (g.n_lines, g.n_capitals, g.n_shouts, g.n_stutters, g.n_distinct, g.n_symbol_runs, g.n_odd_ends) == want
+
+
+def test_rules_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, posterior int")
+    assert quality_rules.assess(empty).collect() == [] and quality_rules.keep_good(empty).collect() == []
+
+
 def test_keep_good_keeps_columns(spark):
     r = random.Random(5)
     df = spark.createDataFrame([(i, words(r, 40) if i % 4 else "###", i) for i in range(40)], "doc_id long, text string, n_words int")
