@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from cytoframe.llm.common import sparing
 from cytoframe.llm.settings import tokenizer_path
 
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
@@ -210,4 +211,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
                 more.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(sparing(run), schema)

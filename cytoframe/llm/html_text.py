@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cytoframe.llm.common import sparing
 from cytoframe.llm.html_dom import Node, parse
 
 #: Attribute tokens, fixed lists.
@@ -289,4 +290,4 @@ def main_texts(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
                 text += extract(batch.column(2).slice(start, 256).to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=schema.names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(sparing(run), schema)

@@ -13,15 +13,15 @@ rejects them (at 4.5 standard deviations) with 0.000004.
 
 No group is expanded into its pairs. Equal word sequences become one class first. Members of a band are compared with
 one pivot; then only members that are still in different components are compared: all of them where a band holds
-few, else with the most central pivot, and last in blocks, where numpy compares pairs without writing them out.
-So every candidate pair is either compared or already connected: nothing is capped.
+few, else with the most central pivot as long as that connects an eighth of them, and last in blocks, where numpy compares pairs without writing them out.
+So every candidate pair is either compared or already connected: nothing is capped. Bands with many members are dealt to tasks in parts.
 
 Everything that is kept between steps is a table in the shared folder; the driver sees counts only.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component;
 a text with fewer than five words has one run, its whole sequence; a null doc_id takes part and is last in order, so
 component_id is null only where all ids of a component are; rows that repeat a doc_id count as documents of their
-own; an empty table gives an empty result. Other columns are ignored.
+own; texts of any length are read whole; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from cytoframe.llm import wordscan
-from cytoframe.llm.common import settle
+from cytoframe.llm.common import discard, settle, sparing
 
 U = np.uint64
 WIDTH, PERCENT = 5, 75
@@ -47,8 +47,10 @@ SEEDS = wordscan.mixed(np.arange(1, REGISTERS + 1, dtype=U) * U(0x9E3779B97F4A7C
 LEAST = PERCENT / 100 - 4.5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 #: Bands with at most this many members are compared pair by pair; larger ones in blocks of about BLOCK.
 FEW, BLOCK, BLOCK_SIZE = 32, 1024, 4_000_000
-#: Rounds of comparing the members of large bands with one pivot, at most, before blocks.
-CENTRES = 2
+#: Members of a large band are compared with one pivot again as long as a round connects this share of the open ones; rounds at most.
+WORTH, CENTRES = 1 / 8, float("inf")
+#: Rows of links and members of components in a file of an intermediate table, and the least number of files.
+FILE_ROWS, LEAST_FILES = 1 << 18, 8
 
 
 def shingle_set(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -133,7 +135,7 @@ def scanned(docs: DataFrame, keep: list[str], schema, rows_of) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = list(to_arrow_schema(schema))
-    return docs.select(*keep, F.col("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text")).mapInArrow(sparing(run), schema)
 
 
 def word_class(h: np.ndarray) -> bytes:
@@ -143,9 +145,15 @@ def word_class(h: np.ndarray) -> bytes:
     return one.sum(dtype=U).tobytes() + two.sum(dtype=U).tobytes()
 
 
+def text_key(text: str = "text") -> Column:
+    """64 bits of the text itself; with doc_id it tells rows apart, but for exact repeats."""
+    return F.xxhash64(text)
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, cls, n, sketches), one for each document."""
-    schema = docs.select("doc_id").schema.add("cls", "binary").add("n", "long").add("p1", "integer").add("r1", "binary").add("p2", "integer").add("r2", "binary")
+    """Rows (doc_id, x, cls, n, sketches), one for each document; x is the key of the text."""
+    keyed = docs.select("doc_id", text_key().alias("x"), "text")
+    schema = keyed.select("doc_id", "x").schema.add("cls", "binary").add("n", "long").add("p1", "integer").add("r1", "binary").add("p2", "integer").add("r2", "binary")
 
     def row(h, s, _):
         if not len(s):
@@ -154,7 +162,7 @@ def sketched(docs: DataFrame) -> DataFrame:
         made = [x for p in own for x in (p, sketch(s, p).tobytes())]
         return (word_class(h), len(s), *made, *([None] * (4 - len(made))))
 
-    return scanned(docs, ["doc_id"], schema, row)
+    return scanned(keyed, ["doc_id", "x"], schema, row)
 
 
 def in_bands(nodes: DataFrame) -> DataFrame:
@@ -171,7 +179,7 @@ def in_bands(nodes: DataFrame) -> DataFrame:
                     rows, keys = band_keys(r, p)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p[rows]), pa.array(node[has][rows])], names=["key", "level", "node"])
 
-    return nodes.select("node", "p1", "r1", "p2", "r2").mapInArrow(run, "key long, level int, node long")
+    return nodes.select("node", "p1", "r1", "p2", "r2").mapInArrow(sparing(run), "key long, level int, node long")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,7 +199,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 good = pa.array(estimate(ra, rb, by_chance) >= LEAST)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    return chosen.mapInArrow(run, "a long, b long")
+    return chosen.mapInArrow(sparing(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,29 +209,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("shared") >= PERCENT * (F.size("a_set") + F.size("b_set") - F.col("shared"))).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, files: int) -> DataFrame:
     """Rows (node, root) of all nodes on edges (a, b); the root is the smallest node. Alternates large and small stars."""
-    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges", files)
     state = None
     while True:
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()  # two numbers
-        if new == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()
+        if new == state or not new[0]:
+            out = settle(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct(), "near-stars", files)
+            discard(edges)
+            return out
         state = new
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = settle(large, "near-large")
+        large = settle(large, "near-large", files)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", "m")).distinct()
-        edges = settle(small, "near-edges")
+        small = settle(small, "near-edges", files)
+        discard(edges, large)
+        edges = small
+
+
+def components(links: DataFrame, roots: DataFrame | None, files: int) -> DataFrame:
+    """Rows (node, root) of all nodes on links (a, b) so far, given the roots before these links. Only roots that the links connect are worked on."""
+    if roots is None:
+        return stars(links, files)
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = stars(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), files)
+    moved = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = settle(known.union(over.join(roots, "node", "left_anti")), "near-roots", files)
+    discard(over, roots)
+    return out
 
 
 def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, level, pivot, node, root, size) of the bands whose members are in more than one component."""
-    rows = members.join(roots, "node", "left").select("key", "level", "pivot", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    return rows.join(open_keys.select("key", "size"), "key").select("key", "level", "pivot", "node", "root", "size")
+    """Rows (key, level, pivot, size, node, root) of the bands whose members are in more than one component.
+
+    What is found out of a band is a row for each key; it meets the members by key and part, so that a band of many members isn't one task's.
+    """
+    rows = members.join(roots, "node", "left").select("key", "level", "pivot", "size", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("size")).where("low <> high")
+    return in_parts(rows, "node").join(all_parts(open_keys.select("key", "size")).drop("size"), ["key", "part"]).drop("part")
+
+
+def in_parts(rows: DataFrame, by: str) -> DataFrame:
+    """Add the part of a member in its band of ``size`` members: about BLOCK of them to a part."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(F.lit(5), by), F.ceil(F.col("size") / BLOCK)))
+
+
+def all_parts(keys: DataFrame) -> DataFrame:
+    """One row for each part of the bands."""
+    return keys.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)))
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
@@ -239,8 +278,8 @@ def centres(rows: DataFrame) -> DataFrame:
     """
     weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = rows.join(weight, "node")
-    best = ranked.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("weight", -F.col("node"))).alias("best"))
-    return ranked.join(best, "key").where("root <> best.root").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
+    best = ranked.groupBy("key").agg(F.max("size").alias("size"), F.max(F.struct("weight", (-F.col("node")).alias("less"), "node", "root")).alias("best"))
+    return in_parts(ranked, "node").join(all_parts(best).drop("size"), ["key", "part"]).where("root <> best.root").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
 
 
 def by_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -291,47 +330,64 @@ def by_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: rows (doc_id, cls, n) of documents, and (cls, component_id, keep_id) of classes with a set."""
+    """Two tables: rows (doc_id, x, cls, n) of documents, and (cls, component_id, keep_id, keep_x) of classes with a set.
+
+    A class is known by its smallest doc_id, and of rows that repeat that by one of the texts.
+    """
     seen = settle(sketched(docs), "near-sketches")
-    classes = seen.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "p1", "r1", "p2", "r2")])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "x"))
+    classes = seen.where("n > 0").groupBy("cls").agg(first.alias("rep"), *[F.first(c).alias(c) for c in ("n", "p1", "r1", "p2", "r2")])
+    classes = classes.select("cls", F.col("rep.doc_id").alias("rep"), F.col("rep.x").alias("rep_x"), "n", "p1", "r1", "p2", "r2")
     classes = classes.repartitionByRange(F.col("rep").asc_nulls_last()).sortWithinPartitions(F.col("rep").asc_nulls_last())
     nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")  # in order of the smallest id
+    files = max(LEAST_FILES, nodes.count() // FILE_ROWS)
 
-    bands = in_bands(nodes)
-    tops = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
+    tops = in_bands(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    tops = settle(tops, "near-tops", files)  # else a band with many members couldn't be split among tasks in the join
     members = settle(in_bands(nodes).join(tops, "key"), "near-members")
-    first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = settle(possible(first, nodes), "near-first")
+    starts = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"rep": "_rep", "cls": "_cls"})
-    d, w = docs.select("doc_id", "text").alias("d"), wanted.alias("w")
-    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w._rep"))).select("w.node", "w._cls", "w.n", "w.p1", "w.r1", "w.r2", "d.text")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"rep": "_rep", "rep_x": "_x", "cls": "_cls"})
+    d, w = docs.select("doc_id", text_key().alias("x"), "text").alias("d"), wanted.alias("w")
+    same = (F.col("d.x") == F.col("w._x")) & F.col("d.doc_id").eqNullSafe(F.col("w._rep"))
+    texts = d.join(w, same).select("w.node", "w._cls", "w.n", "w.p1", "w.r1", "w.r2", "d.text")
     kept = ["node", "_cls", "n", "p1", "r1", "r2"]
     schema = texts.select(*kept).schema.add("same", "boolean").add("members", ArrayType(LongType()))
     sets = scanned(texts, kept, schema, lambda h, s, more: (word_class(h) == more["_cls"], s.view(np.int64)))
     sets = settle(sets.where("same").drop("_cls", "same"), "near-sets")
 
-    edges = settle(confirmed(first, sets), "near-links")
-    roots = settle(components(edges), "near-roots")
-    rest = settle(unresolved(members, roots), "near-rest")
-    for _ in range(CENTRES):
+    links = settle(confirmed(possible(starts, nodes), sets), "near-links", files)
+    roots = components(links, None, files)
+    discard(links, tops)
+    rest = settle(unresolved(members, roots), "near-rest", files)
+    rounds = 0
+    while rounds < CENTRES:
+        rounds += 1
         large = rest.where(F.col("size") > FEW)
-        if large.isEmpty():
+        open_nodes = large.select("node").distinct().count()
+        if not open_nodes:
             break
-        new = settle(confirmed(possible(centres(large), nodes), sets), "near-links")
-        if new.isEmpty():
+        links = settle(confirmed(possible(centres(large), nodes), sets), "near-links", files)
+        found = links.count()
+        if found:
+            roots = components(links, roots, files)
+            old, rest = rest, settle(unresolved(members, roots), "near-rest", files)
+            discard(old)
+        discard(links)
+        if found < WORTH * open_nodes:
             break
-        edges = settle(edges.union(new), "near-links")
-        roots = settle(components(edges), "near-roots")
-        rest = settle(unresolved(members, roots), "near-rest")
     few = confirmed(possible(pairs_of(rest.where(F.col("size") <= FEW)), nodes), sets)
-    more = settle(few.union(by_blocks(rest.where(F.col("size") > FEW), sets)), "near-links")
-    if not more.isEmpty():
-        roots = settle(components(edges.union(more)), "near-roots")
+    links = settle(few.union(by_blocks(rest.where(F.col("size") > FEW), sets)), "near-links", files)
+    if not links.isEmpty():
+        roots = components(links, roots, files)
+    discard(links, rest, members, sets)
 
-    named = roots.join(nodes.select(F.col("node").alias("root"), F.col("rep").alias("component_id")), "root").select("node", "component_id")
-    out = nodes.join(named, "node", "left").select("cls", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.col("rep").alias("class_id"))
-    return seen.select("doc_id", "cls", "n"), settle(out, "near-classes")
+    named = roots.join(nodes.select(F.col("node").alias("root"), F.col("rep").alias("component_id")), "root").select("node", "component_id", (F.col("node") == F.col("root")).alias("top"))
+    kept = F.when(F.coalesce("top", F.lit(True)), F.struct(F.col("rep").alias("id"), F.col("rep_x").alias("x"))).alias("keep")
+    out = nodes.join(named, "node", "left").select("cls", F.when(F.col("top").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), kept)
+    out = settle(out, "near-classes")
+    discard(roots, nodes)
+    return seen.select("doc_id", "x", "cls", "n"), out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -343,21 +399,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, and those with an empty set, with their columns.
+    """One document of each component, and those with an empty set, with their columns, whatever their names.
 
     Of rows that repeat the smallest doc_id and its words, one stays.
     """
     seen, classes = link(docs)
-    kept = classes.where(F.col("component_id").eqNullSafe(F.col("class_id"))).select("cls", F.col("class_id").alias("keep_id"))
-    same = (F.col("cls") == F.col("_cls")) & F.col("keep_id").eqNullSafe(F.col("_id"))
-    rows = seen.where("n > 0").groupBy(F.col("cls").alias("_cls"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"))
-    kept = settle(kept.join(rows, same).select("cls", "keep_id", "rows"), "near-kept")
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), "text")
-    schema = packed.select(F.col("row").alias("_row"), F.col("id").alias("_id")).schema.add("_cls", "binary").add("_n", "long")
-    marked = scanned(packed, ["row", "id"], schema, lambda h, s, _: (word_class(h), len(s)))
-    stay = marked.join(kept.where("rows = 1"), same, "left_semi").select("_row")
-    again = kept.where("rows > 1")
+    kept = classes.where("keep is not null").select(F.col("cls").alias("_cls"), F.col("keep.id").alias("_id"), F.col("keep.x").alias("_x"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("x"))
+    same = lambda x, y: (F.col(f"{x}x") == F.col(f"{y}x")) & F.col(f"{x}id").eqNullSafe(F.col(f"{y}id"))
+    rows = seen.select(F.col("doc_id").alias("id"), "x", "n").groupBy("id", "x").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    wanted = kept.join(rows, same("", "_")).select("_id", "_x", "rows")
+    empty = rows.where("n = 0").select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.lit(0).cast("long").alias("rows"))
+    wanted = settle(wanted.union(empty), "near-kept")
+    found = packed.join(wanted.where("rows <= 1"), same("", "_"), "left_semi").select("row")
+    again = wanted.where("rows > 1")
     if not again.isEmpty():
-        stay = stay.union(marked.join(again, same, "left_semi").dropDuplicates(["_id", "_cls"]).select("_row"))
-    return stay.union(marked.where("_n = 0").select("_row")).select("_row.*")
+        found = found.union(packed.join(again, same("", "_"), "left_semi").dropDuplicates(["id", "x"]).select("row"))
+    return found.select("row.*")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.llm import wordscan
+from cytoframe.llm.common import sparing
 
 FEATURES = (
     "log_words", "mean_word", "symbols", "shouts", "capitals", "stutter", "repeats", "dup_lines", "digits", "points",
@@ -218,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
             x = features_of(batch.column(3))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, x.T)], names=schema.names)
 
-    every = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "n0", "n1", "text").mapInArrow(run, schema)
+    every = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "n0", "n1", "text").mapInArrow(sparing(run), schema)
     one = every.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*names).alias("h"), "n0", "n1", *names)).alias("x"))
     rows = one.select("x.n0", "x.n1", *[f"x.{name}" for name in names]).toPandas()  # ``sample`` rows at most
     rows = rows.sort_values([*names, "n0", "n1"]).to_numpy(dtype=float)  # the fit doesn't depend on the order of tasks
@@ -234,7 +235,7 @@ def score_documents(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ("doc_i
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(features_of(batch.column(len(keep)))))], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(sparing(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -245,5 +246,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier accepts, with their columns; names of other columns cannot clash."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return score_documents(packed, train(docs, labels, sample), ("_row",)).where(F.col("score") >= THRESHOLD).select("_row.*")
+    model, at = train(docs, labels, sample), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features_of(batch.column(at))) >= THRESHOLD))
+
+    return docs.mapInArrow(sparing(run), docs.schema)

@@ -24,6 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytoframe.llm.common import sparing
 from cytoframe.llm.settings import tokenizer_path
 
 MARK = "▁"
@@ -117,4 +118,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return docs.select("doc_id", size.alias("n_bytes"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", size.alias("n_bytes"), "text").mapInArrow(sparing(run), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes scanned at a time, but for a longer text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _rng = np.random.default_rng(20240501)
 #: A random number for each byte, and odd factors by a byte's place in its word.
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=U) * U(2) + _rng.integers(0, 2, 256, dtype=U)
