@@ -11,8 +11,8 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 TOKEN = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe svg math object canvas title textarea select".split())
+#: Elements whose content is never text of the page: scripts and styles, what is shown only without scripts or frames, the window's title, and form controls.
+RAW = frozenset("script style noscript template iframe title textarea select".split())
 BLOCKS = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset nav header footer aside"
     " blockquote pre figure figcaption address details summary hgroup menu dialog center option button label legend".split()
@@ -98,10 +98,7 @@ def parse(page: str) -> list[Node]:
             continue
         if tag == "a":
             in_link = 0 if closing else 1
-        tokens, hidden = (frozenset(), False)
-        if not closing and m[3]:
-            tokens, hidden = tokens_of(m[3])
-        if tag not in BLOCKS and not (hidden and not closing):
+        if tag not in BLOCKS:
             continue
         if closing:
             up = node
@@ -113,10 +110,6 @@ def parse(page: str) -> list[Node]:
             elif tag == "p":
                 flush()
             continue
-        if tag not in BLOCKS:  # a hidden inline element becomes a node only if it is closed in place
-            end = page.find(f"</{name}", at)
-            at = page.find(">", end) + 1 if end >= 0 else at
-            continue
         flush()
         in_link = in_link if tag in ("div", "p", "h1", "h2", "h3", "h4", "h5", "h6") else 0
         if tag in NOT_IN_P:
@@ -138,6 +131,7 @@ def parse(page: str) -> list[Node]:
                 up = up.parent
         if tag in ("html", "body") and any(x.tag == tag for x in nodes[:4]):
             continue
+        tokens, hidden = tokens_of(m[3]) if m[3] else (frozenset(), False)
         child = Node(tag, tokens, node, hidden)
         child.order = order
         node.children.append(child)

@@ -1,23 +1,28 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, and a decoding that respects the tree.
 
-Every block element gets features of its subtree (text, links, punctuation, controls, tags), of its attribute tokens,
-depth, siblings and ancestors. The trees give the probability that its subtree holds main text. Of all labellings
+Every block element gets features of its subtree (text, links, punctuation, controls, tags), of its attribute tokens (two lists of known ones, and each of the
+tokens that the fitted pages use most, on the element and above it), depth, siblings and ancestors. The trees give the probability that its subtree holds main text. Of all labellings
 in which the parent of a main node is main too, dynamic programming over the tree takes the likeliest, so no
 ancestor contradicts a descendant. The own text of main nodes, in page order, is the result.
 
 The trees are fitted here, once per driver, to pages made by ``examples`` with known main text; the fitted arrays, some KB, go
 to the executors. Extraction is a map over Arrow batches without a shuffle; the whole page is read.
 
+Text that is hidden by an attribute, and that of math, svg, object and canvas elements, counts like other text: what is left out is decided by the trees, but for
+scripts, styles, templates, frames' and scripts' fallbacks, the window's title and form controls.
+
 Defined cases: null and empty pages, and pages without main text, give the empty text; broken and cut-off markup is read
-leniently; repeated rows are treated alike; a null page_id or url passes through; an empty table gives an empty result.
+leniently; pages of any length are read whole; repeated rows are treated alike; a null page_id or url passes through; an empty table gives an empty result.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -40,10 +45,34 @@ TAGS = ("article", "main", "section", "div", "p", "h1", "li", "ul", "nav", "head
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu button label dialog head".split())
 BINS, TREES, DEPTH, RATE = 32, 60, 4, 0.2
+#: Attribute tokens that get features of their own.
+TOKENS = 48
+
+
+def frequent_tokens(pages: list[list[Node]], most: int = TOKENS) -> tuple[str, ...]:
+    """The attribute tokens that occur on most elements, ties by name."""
+    seen = Counter(t for nodes in pages for x in nodes for t in x.tokens)
+    return tuple(t for t, _ in sorted(seen.items(), key=lambda item: (-item[1], item[0]))[:most])
+
+
+def token_features(nodes: list[Node], places: dict[str, int]) -> np.ndarray:
+    """Of each node and token: 2 if the node has it, 1 if a node above it has."""
+    out = np.zeros((len(nodes), len(places)), np.float32)
+    index = {id(x): i for i, x in enumerate(nodes)}
+    marked: dict[int, set[int]] = {}
+    for i, x in enumerate(nodes):
+        above = marked.get(index[id(x.parent)]) if x.parent else None
+        own = [places[t] for t in x.tokens if t in places] if x.tokens else []
+        if above or own:
+            marked[i] = (above or set()).union(own)
+            if above:
+                out[i, list(above)] = 1
+            out[i, own] = 2
+    return out
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row for each node."""
+def features(nodes: list[Node], places: dict[str, int]) -> np.ndarray:
+    """One row for each node; places are those of the tokens with features of their own."""
     n = len(nodes)
     index = {id(x): i for i, x in enumerate(nodes)}
     own = [sum(len(t) for _, t in x.texts) for x in nodes]
@@ -76,7 +105,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             before / all_text, x.hidden, x.tag in HEADINGS, len(x.children), *(x.tag == t for t in TAGS), *(nodes[p].tag == t for t in TAGS[:13]),
         ))
         before += own[i]
-    return np.array(rows, dtype=np.float32)
+    return np.concatenate([np.array(rows, dtype=np.float32), token_features(nodes, places)], axis=1)
 
 
 @dataclass
@@ -87,6 +116,7 @@ class Trees:
     cut: np.ndarray
     leaf: np.ndarray
     bias: float
+    tokens: tuple[str, ...] = ()
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.bias)
@@ -150,7 +180,7 @@ def decode(nodes: list[Node], logit: np.ndarray) -> list[bool]:
         outside[p] += outside[i]
     out = [False] * n
     for i, x in enumerate(nodes):
-        out[i] = inside[i] > outside[i] and (x.parent is None or out[index[id(x.parent)]]) and not x.hidden
+        out[i] = inside[i] > outside[i] and (x.parent is None or out[index[id(x.parent)]])
     return out
 
 
@@ -203,12 +233,19 @@ def examples(seed: int, pages: int) -> Iterator[tuple[str, str]]:
     noise = lambda: r.choice([lambda: div(["ad", "ads", "advert", "ad-slot", "banner", "sponsored", "promo"], f"<p>{some(3, 30)}</p>" if r.random() < 0.4 else some(3, 30), r.choice(["div", "div", "aside", "section"])), share, related, lambda: f"<form><label>{some(1, 4)}</label><input><button>{some(1, 2)}</button></form>", lambda: div(["newsletter", "signup", "subscribe"], f"<p>{some(4, 20)}</p><form><input><button>{some(1, 2)}</button></form>"), lambda: f"<aside>{some(3, 40)}</aside>"])()
     notice = lambda: div(["cookie-notice", "cookie", "consent", "gdpr-banner", "notice", "alert"], (f"<p>{some(6, 40)}</p>" if r.random() < 0.6 else some(6, 40)) + (f"<button>{some(1, 2)}</button>" if r.random() < 0.7 else ""), r.choice(["div", "section", "aside", "dialog"]))
 
+    def unnamed() -> str:
+        """A menu that no tag or token gives away."""
+        inner = items(r.randint(2, 9)) if r.random() < 0.6 else " ".join(link() for _ in range(r.randint(2, 9)))
+        return r.choice([f"<div>{inner}</div>", inner if inner.startswith("<ul>") else f"<p>{inner}</p>", f'<div id="{words(1)}">{inner}</div>', f'<table><tr><td class="{words(1)}">{inner}</td></tr></table>'])
+
     def before() -> str:
         out = [notice()] if r.random() < 0.3 else []
         if r.random() < 0.4:
             out.append(r.choice([f"<header><h1>{some(1, 4)}</h1><p>{some(2, 10)}</p></header>", f"<header>{items(4)}</header>", div(["header", "masthead", "site-header", "topbar"], some(1, 6) + (items(3) if r.random() < 0.5 else ""))]))
         if r.random() < 0.8:
             out.append(r.choice([f"<nav>{items(r.randint(2, 9))}</nav>", div(["nav", "menu", "navbar", "main-menu", "navigation"], items(r.randint(2, 9)))]))
+        if r.random() < 0.2:
+            out.append(unnamed())
         if r.random() < 0.2:
             out.append(div(["breadcrumb", "breadcrumbs"], f"{link()} &gt; {link()} &gt; {some(1, 4)}", r.choice(["div", "nav"])))
         out += [noise() for _ in range(r.choice([0, 0, 1, 1, 2]))]
@@ -216,6 +253,8 @@ def examples(seed: int, pages: int) -> Iterator[tuple[str, str]]:
 
     def after() -> str:
         out = [noise() for _ in range(r.choice([0, 0, 0, 1, 2]))]
+        if r.random() < 0.1:
+            out.append(unnamed())
         if r.random() < 0.3:
             out.append(comments())
         if r.random() < 0.35:
@@ -242,24 +281,27 @@ def examples(seed: int, pages: int) -> Iterator[tuple[str, str]]:
         yield f"<!DOCTYPE html><html><head><title>{words(5)}</title><style>p{{}}</style><script>var x='</p>'</script></head><body>{inner}{close}", mark
 
 
-def labelled(pages: Iterator[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of nodes, and whether their subtrees hold main text."""
+def labelled(pages: Iterator[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, tuple[str, ...]]:
+    """Features of nodes, whether their subtrees hold main text, and the tokens that have features."""
     x, y = [], []
-    for page, mark in pages:
-        nodes = parse(page)
+    parsed = [(parse(page), mark) for page, mark in pages]
+    tokens = frequent_tokens([nodes for nodes, _ in parsed])
+    places = {t: k for k, t in enumerate(tokens)}
+    for nodes, mark in parsed:
         index = {id(n): i for i, n in enumerate(nodes)}
         main = [any(mark in t for _, t in n.texts) for n in nodes]
         for i in range(len(nodes) - 1, 0, -1):
             if main[i]:
                 main[index[id(nodes[i].parent)]] = True
-        x.append(features(nodes))
+        x.append(features(nodes, places))
         y += main
-    return np.concatenate(x), np.array(y, float)
+    return np.concatenate(x), np.array(y, float), tokens
 
 
 @cache
 def fitted(seed: int = 11, pages: int = 1500) -> Trees:
-    return boost(*labelled(examples(seed, pages)))
+    x, y, tokens = labelled(examples(seed, pages))
+    return replace(boost(x, y), tokens=tokens)
 
 
 def extract(pages: list[str | None], trees: Trees) -> list[str]:
@@ -267,7 +309,8 @@ def extract(pages: list[str | None], trees: Trees) -> list[str]:
     known = [t for t in trees_of if t]
     if not known:
         return [""] * len(pages)
-    logit = trees.logit(np.concatenate([features(t) for t in known]))
+    places = {t: k for k, t in enumerate(trees.tokens)}
+    logit = trees.logit(np.concatenate([features(t, places) for t in known]))
     out, at = [], 0
     for t in trees_of:
         if t is None:

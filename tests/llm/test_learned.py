@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from cytoframe.llm import html_text, masked_lm, quality_model, wordscan
-from cytoframe.llm.html_dom import parse
+from cytoframe.llm.html_dom import Node, parse
 
 
 def test_words_match_a_regular_expression():
@@ -118,6 +118,58 @@ def test_decoding_never_contradicts():
         assert all(main[at[id(n.parent)]] for i, n in enumerate(nodes) if main[i] and n.parent)
 
 
+def test_decoding_is_the_likeliest():
+    """Against every labelling of small trees in which the parent of a main node is main."""
+    r = np.random.default_rng(11)
+    for n in [1, 2, 3, 5, 8, 11] * 5:
+        parents = [None] + [int(r.integers(0, i)) for i in range(1, n)]
+        nodes = []
+        for p in parents:
+            nodes.append(Node("div", frozenset(), None if p is None else nodes[p]))
+        logit = r.normal(0, 2, n)
+        yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
+        best = -np.inf
+        for bits in range(1 << n):
+            on = [bool(bits >> i & 1) for i in range(n)]
+            if all(p is None or not on[i] or on[p] for i, p in enumerate(parents)):
+                best = max(best, sum(yes[i] if on[i] else no[i] for i in range(n)))
+        got = html_text.decode(nodes, logit)
+        assert abs(sum(yes[i] if got[i] else no[i] for i in range(n)) - best) < 1e-9
+
+
+PROSE = "The old bridge was rebuilt in stone after the flood, and the market moved to its northern end. Few of the houses from that time are left."
+BY_HAND = [
+    # (page, main text)
+    (f"<html><body><div id=top><ul><li><a href=/>Start</a><li><a href=/n>News</a></ul></div><main><h1>The bridge</h1><p>{PROSE}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be its width.</p><p>{PROSE}</p></main><footer>Imprint</footer></body></html>",
+     f"The bridge {PROSE} Let x=2 be its width. {PROSE}"),
+    (f"<body><nav><a href=/a>Home</a> <a href=/b>Shop</a></nav><article><h2>Stone</h2><p>{PROSE}</p><p>Then <s hidden>it <span>was</span> left</s> and gone, as <svg><text>Fig. 1</text></svg> shows.</p><p style='display:none'>{PROSE}</p></article><aside><a href=/x>More</a></aside></body>",
+     f"Stone {PROSE} Then it was left and gone, as Fig. 1 shows. {PROSE}"),
+    (f"<html><head><title>Not me</title><style>b{{}}</style></head><body><article><p>{PROSE}</p><object data=x>{PROSE}</object><script>no()</script><p>{PROSE}</p></article><form><label>Mail</label><input><textarea>no</textarea><button>Send</button></form></body></html>",
+     f"{PROSE} {PROSE} {PROSE}"),
+]
+
+
+@pytest.mark.parametrize("page, want", BY_HAND)
+def test_pages_by_hand(page, want):
+    assert html_text.extract([page], html_text.fitted())[0] == want
+
+
+def test_other_columns_of_pages(spark):
+    rows = [(1, "u", PAGE, "mine", 7), (1, "u", PAGE, None, None), (None, None, "<p>" + "word, " * 200_000, "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.main_texts(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    got = got.collect()
+    assert [g.text for g in got if g.page_id == 1] == [html_text.extract([PAGE], html_text.fitted())[0]] * 2
+    assert [g.n_chars in (0, 6 * 200_000 - 1) for g in got if g.page_id is None] == [True]
+
+
+def test_tokens_have_features():
+    nodes = parse("<div class='Alpha-beta'><p id=gamma>x</p></div><p>y</p>")
+    assert html_text.token_features(nodes, {"beta": 0, "gamma": 1}).tolist() == [[0, 0], [2, 0], [1, 2], [0, 0]]
+    assert html_text.frequent_tokens([nodes], 2) == ("alpha", "beta") and len(html_text.fitted().tokens) == html_text.TOKENS
+
+
 def test_odd_pages(spark):
     odd = [None, "", "plain text only", "<", "<p", "<p>unclosed <b>tags", "<script>never closed", "</div></p>", "<!-- open", "<div " + "x" * 5000, "<div>" * 3000 + "deep", "<p a='>'>x</p>"]
     df = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(odd)] + [(0, "u0", None)], "page_id long, url string, html string")
