@@ -6,17 +6,19 @@ size. Blocks go to sources by highest quotients ``target / (2k + 1)``, then each
 shards in the same way by shard size. Within a shard the documents lie in a seeded order, and the shard's
 quota of blocks is read off that order, from its start again when it is longer than the shard.
 
-Everything is DataFrame code. A source is split by a seeded hash into as many shards, a power of 16, as there are
-thousands of documents in all, so one source with a third of all rows still spreads; sizes are summed before
-anything is shuffled by source. The windows over all sources hold one row a source.
+Everything is DataFrame code. A source is split by a seeded hash of doc_id and text into shards, a power of 16, of about a thousand
+documents (or of the square root of their number, if that is more) if one source had all, so one source with a third of all rows still
+spreads, and a source has no more than 16 times that root of shards, which meet in one task. Sizes are summed before
+anything is shuffled by source. The windows over all sources hold one row a source. Documents without words take no part in any order.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, ordered last;
-null doc_id is an ordinary value; rows that repeat a doc_id are separate documents, ordered by size; an empty
-table gives an empty result; a table without words gives targets and takes of 0. Other columns are ignored.
+null doc_id is an ordinary value; rows that repeat a doc_id are separate documents; texts of any length are read whole; an empty
+table gives an empty result; a table without words gives targets and takes of 0. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -26,7 +28,7 @@ from cytoframe.llm.common import n_words, settle
 
 #: The mix is cut into about this many blocks, of one word at least.
 BLOCKS = 1 << 24
-#: Rows of a shard, on average, if one source had all rows.
+#: Rows of a shard, on average, if one source had all rows; the root of their number for more than its square.
 SHARD_ROWS = 1000
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -57,14 +59,14 @@ def apportion(df: DataFrame, within: Sequence[str], votes: str, seats: str, orde
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("h"))
 
 
 def shard_digits(rows: int) -> int:
     """Hexadecimal digits of the order that name a shard."""
     digits = 0
-    while 16**digits * SHARD_ROWS < rows:
+    while 16**digits * max(SHARD_ROWS, math.isqrt(rows)) < rows:
         digits += 1
     return digits
 
@@ -108,12 +110,15 @@ def mix(docs: DataFrame, seed: str = "mix-1", blocks: int = BLOCKS) -> DataFrame
     quotas = quotas.withColumn("rounds", F.when(F.col("shard_size") > 0, F.floor(want / F.greatest(F.col("shard_size"), F.lit(1)))).otherwise(0).cast("long"))
     quotas = quotas.withColumn("rest", want - F.col("rounds") * F.col("shard_size"))
     r, q = rows.alias("r"), quotas.alias("q")
-    both = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard")))
+    both = r.where("size > 0").join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard")))
     both = both.select("r.doc_id", "r.source", "r.size", "r.h", "q.place", "q.shard", "q.source_size", "q.target", "q.rounds", "q.rest")
+    q = by_source.alias("q")
+    blank = r.where("size = 0").join(q, F.col("r.source").eqNullSafe(F.col("q.source")))
+    blank = blank.select("r.doc_id", "r.size", "q.source_size", "q.target", F.lit(0).cast("long").alias("taken"), "r.source")
     upto = F.sum("size").over(Window.partitionBy("place", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     part = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("rest")) - (F.col("upto") - F.col("size")))
     both = both.withColumn("upto", upto)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + part).cast("long").alias("taken"), "source")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + part).cast("long").alias("taken"), "source").union(blank)
 
 
 def repeat_documents(docs: DataFrame, seed: str = "mix-1", blocks: int = BLOCKS) -> DataFrame:

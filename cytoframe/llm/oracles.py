@@ -37,8 +37,8 @@ SELECT * FROM r WHERE rank <= 20
 OP3 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
-), k AS (SELECT greatest(0, CAST(ceil(ln(greatest(count(*), 1) / {SHARD_ROWS}.0) / ln(16) - 1e-12) AS INTEGER)) AS digits FROM d
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h FROM documents
+), k AS (SELECT greatest(0, CAST(ceil(ln(greatest(count(*), 1) / greatest({SHARD_ROWS}.0, floor(sqrt(count(*))))) / ln(16) - 1e-12) AS INTEGER)) AS digits FROM d
 ), sh AS (SELECT d.*, h[1:digits] AS shard FROM d, k
 ), p AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM sh GROUP BY ALL
 ), s0 AS (
