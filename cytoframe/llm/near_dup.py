@@ -292,6 +292,7 @@ def by_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """
     rows = rows.select("pivot", "level", "node", "root").distinct().join(sets, "node")
     sizes = rows.groupBy("pivot", "level").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SIZE)).cast("int").alias("blocks"))
+    sizes = settle(sizes, "near-blocks", LEAST_FILES)  # else a pivot with many members couldn't be split among tasks in the join
     rows = rows.join(sizes, ["pivot", "level"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     registers = F.when(F.col("p1") == F.col("level"), F.col("r1")).otherwise(F.col("r2"))
@@ -359,7 +360,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = settle(confirmed(possible(starts, nodes), sets), "near-links", files)
     roots = components(links, None, files)
     discard(links, tops)
-    rest = settle(unresolved(members, roots), "near-rest", files)
+    rest = settle(unresolved(members, roots), "near-rest", 4 * files)
     rounds = 0
     while rounds < CENTRES:
         rounds += 1
@@ -371,7 +372,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = links.count()
         if found:
             roots = components(links, roots, files)
-            old, rest = rest, settle(unresolved(members, roots), "near-rest", files)
+            old, rest = rest, settle(unresolved(members, roots), "near-rest", 4 * files)
             discard(old)
         discard(links)
         if found < WORTH * open_nodes:
