@@ -22,10 +22,13 @@ def beds(spark, d) -> DataFrame:
 
 
 def other(spark, d) -> DataFrame:
-    return beds(spark, d).where("start % 3 = 0").select("chrom", (F.col("start") + 7).alias("start"), (F.col("stop") + 19).alias("stop"))
+    """A second set, of all suppliers."""
+    k = F.col("s_suppkey")
+    start = (k * 41) % 4000
+    return A.table(spark, d, "supplier").select(F.concat(F.lit("chr"), (k % 5 + 1).cast("string")).alias("chrom"), start.cast("long").alias("start"), (start + 30 + k % 40).cast("long").alias("stop"))
 
 
-OTHER = "(SELECT chrom, start + 7 AS start, stop + 19 AS stop FROM intervals WHERE start % 3 = 0)"
+OTHER = "(SELECT 'chr' || CAST(s_suppkey % 5 + 1 AS VARCHAR) AS chrom, CAST((s_suppkey * 41) % 4000 AS BIGINT) AS start, CAST((s_suppkey * 41) % 4000 + 30 + s_suppkey % 40 AS BIGINT) AS stop FROM supplier)"
 
 
 @query(V(HEADS.format(gap=0) + "SELECT * FROM merged", "intervals"))
@@ -117,12 +120,14 @@ def multistat(spark, d):
     return L.by_interval_and_sample(A.intervals(spark, d), A.sites(spark, d), list("ANR"))
 
 
-TILES = "SELECT chrom, tile * 100 AS start, least(tile * 100 + 100, size) AS stop, {ratios} FROM (SELECT t.chrom, t.tile, t.size, {counters} FROM (SELECT chrom, size, unnest(range(0, (size + 99) // 100)) AS tile FROM (SELECT 'chr' || k AS chrom, 3000 + 517 * k AS size FROM range(1, 7) r(k))) t LEFT JOIN (SELECT * FROM sites WHERE sample = 'A') s ON s.chrom = t.chrom AND s.pos >= t.tile * 100 AND s.pos < t.tile * 100 + 100 GROUP BY 1, 2, 3)"
+TILES = "SELECT chrom, tile * 100 AS start, least(tile * 100 + 100, size) AS stop, {ratios} FROM (SELECT t.chrom, t.tile, t.size, {counters} FROM (SELECT chrom, size, unnest(range(0, (size + 99) // 100)) AS tile FROM (SELECT chrom, max(pos) + 517 AS size FROM sites GROUP BY 1 UNION ALL SELECT 'chr6', 1234)) t LEFT JOIN (SELECT * FROM sites WHERE sample = 'A') s ON s.chrom = t.chrom AND s.pos >= t.tile * 100 AND s.pos < t.tile * 100 + 100 GROUP BY 1, 2, 3)"
 
 
 @query(V(TILES.format(ratios=RATIOS, counters=counters()), "sites"))
 def cpgbins(spark, d):
-    sizes = spark.range(1, 7).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), (3000 + 517 * F.col("id")).alias("size"))
+    """Chromosomes as long as the sites of all samples need, and one without sites."""
+    sizes = A.sites(spark, d).groupBy("chrom").agg((F.max("pos") + 517).alias("size"))
+    sizes = sizes.union(spark.range(1).select(F.lit("chr6"), F.lit(1234).cast("long")))
     return L.by_tile(sizes, one(spark, d), 100)
 
 
@@ -147,10 +152,10 @@ def dmr(spark, d):
     return regions.join(hits, ["chrom", "start", "stop"], "left").na.fill(0, ["n_sites", "n_low", "n_high"])
 
 
-@query(V(", s AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i, pos FROM sites WHERE sample = 'A') SELECT a.chrom, o.start AS first, o.stop AS last, a.pos AS start, b.pos + 1 AS stop FROM (SELECT chrom, start, stop FROM intervals WHERE stop < 200) o JOIN s a ON a.chrom = o.chrom AND a.i = o.start JOIN s b ON b.chrom = o.chrom AND b.i = o.stop", "sites", "intervals"))
+@query(V(", s AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i, pos FROM sites WHERE sample = 'A') SELECT a.chrom, o.start AS first, o.stop AS last, a.pos AS start, b.pos + 1 AS stop FROM (SELECT chrom, start, stop FROM intervals) o JOIN s a ON a.chrom = o.chrom AND a.i = o.start JOIN s b ON b.chrom = o.chrom AND b.i = o.stop", "sites", "intervals"))
 def ordinals_to_bases(spark, d):
     """Intervals in ordinals of sites turned to bases by two joins."""
     index = one(spark, d).select("chrom", "pos", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1).cast("long").alias("i"))
-    rows = beds(spark, d).where("stop < 200").select("chrom", F.col("start").alias("first"), F.col("stop").alias("last"))
+    rows = beds(spark, d).select("chrom", F.col("start").alias("first"), F.col("stop").alias("last"))
     at = lambda a, c: index.select("chrom", F.col("i").alias(a), F.col("pos").alias(c))
     return rows.join(at("first", "start"), ["chrom", "first"]).join(at("last", "end"), ["chrom", "last"]).select("chrom", "first", "last", "start", (F.col("end") + 1).alias("stop"))

@@ -35,6 +35,24 @@ def counts(spark, d):
     return calls(spark, d).groupBy("chrom", "strand", "context").agg(F.count(F.lit(1)).alias("sites"), F.sum("n_meth").alias("n_meth"), F.sum("n_reads").alias("n_reads"))
 
 
+@query(V(BASES + CYT + COUNTS + ", known AS (SELECT * FROM k WHERE n_reads > 0) SELECT c.chrom, c.strand, c.context, count(*) AS sites, CAST(sum(c.pos) AS BIGINT) AS positions, CAST(sum(coalesce(x.n_meth, 0)) AS BIGINT) AS n_meth, CAST(sum(coalesce(x.n_reads, 0)) AS BIGINT) AS n_reads, count(*) FILTER (x.n_reads > 0) AS found FROM c LEFT JOIN known x ON c.chrom = x.chrom AND c.pos = x.pos WHERE c.chrom IN (SELECT chrom FROM known) GROUP BY 1, 2, 3", "genome", "reads"))
+def recovered(spark, d):
+    """Counts of the covered sites, with the missing sites of their chromosomes restored."""
+    return by_kind(S.recovered(calls(spark, d, True), S.cytosines(A.genome(spark, d))))
+
+
+def by_kind(rows):
+    covered = F.count(F.when(F.col("n_reads") > 0, 1)).alias("found")
+    return rows.groupBy("chrom", "strand", "context").agg(F.count(F.lit(1)).alias("sites"), F.sum("pos").alias("positions"), F.sum("n_meth").alias("n_meth"), F.sum("n_reads").alias("n_reads"), covered)
+
+
+@query(V(BASES + CYT + COUNTS + ", known AS (SELECT * FROM k WHERE n_reads > 0) SELECT c.chrom, c.strand, c.context, count(*) AS sites, CAST(sum(c.pos) AS BIGINT) AS positions, CAST(sum(coalesce(x.n_meth, 0)) AS BIGINT) AS n_meth, CAST(sum(coalesce(x.n_reads, 0)) AS BIGINT) AS n_reads, count(*) FILTER (x.n_reads > 0) AS found FROM c LEFT JOIN known x ON c.chrom = x.chrom AND c.pos = x.pos WHERE c.chrom IN (SELECT chrom FROM known) GROUP BY 1, 2, 3", "genome", "reads"))
+def unxcounts(spark, d):
+    """Compact counts encoded and decoded, with strand, context and missing sites from the genome."""
+    decoded = S.from_deltas(S.to_deltas(calls(spark, d, True)).withColumnRenamed("pos", "line"), "line").select("chrom", "pos", "n_meth", (F.col("n_meth") + F.col("n_unmeth")).alias("n_reads"))
+    return by_kind(S.recovered(decoded, S.cytosines(A.genome(spark, d))))
+
+
 INDEX = ", ix AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM (SELECT chrom, CAST(p - 1 AS BIGINT) AS pos FROM (SELECT chrom, seq, unnest(range(1, length(seq))) AS p FROM genome) WHERE seq[p:p + 1] = 'CG'))"
 
 
@@ -123,11 +141,11 @@ def guessprotocol(spark, d):
     return R.guess_protocol(mates(spark, d).select("name", F.col("seq1").alias("seq")))
 
 
-@query(V("SELECT qname AS name, chrom, pos, '+' AS strand, length(seq) || 'M' AS cigar, seq, CAST(2 AS INTEGER) AS ends FROM reads WHERE length(seq) >= 10", "reads"))
+@query(V("SELECT qname AS name, chrom, pos, '+' AS strand, length(seq) || 'M' AS cigar, seq, CAST(2 AS INTEGER) AS ends FROM reads", "reads"))
 def format_mates(spark, d):
     """Reads split into overlapping ends, and merged again."""
-    n, cut = F.length("seq"), F.floor(F.length("seq") * 0.6).cast("int")
-    rows = A.reads(spark, d).where("length(seq) >= 10")
+    n, cut = F.length("seq"), F.ceil(F.length("seq") * 0.6).cast("int")
+    rows = A.reads(spark, d)
     one = rows.select(F.col("qname").alias("name"), F.lit(1).alias("end"), "chrom", "pos", F.lit("+").alias("strand"), F.concat(cut.cast("string"), F.lit("M")).alias("cigar"), F.substr("seq", F.lit(1), cut).alias("seq"))
     two = rows.select(F.col("qname").alias("name"), F.lit(2).alias("end"), "chrom", (F.col("pos") + n - cut).alias("pos"), F.lit("-").alias("strand"), F.concat(cut.cast("string"), F.lit("M")).alias("cigar"), F.substr("seq", n - cut + 1, cut).alias("seq"))
     return R.merge_mates(one.union(two))

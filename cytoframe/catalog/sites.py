@@ -103,12 +103,13 @@ def merge_table_levels(spark, d):
     return S.merge_table(A.sites(spark, d), SAMPLES, "levels", 20)
 
 
-INDEX = "SELECT DISTINCT chrom AS from_chrom, pos AS from_pos, 'chr2' AS to_chrom, pos // 4 * 4 + 4 AS to_pos, strand AS to_strand FROM sites WHERE chrom = 'chr1' AND pos % 3 = 0"
+INDEX = "SELECT DISTINCT chrom AS from_chrom, pos AS from_pos, 'to_' || chrom AS to_chrom, pos // 4 * 4 + 4 AS to_pos, strand AS to_strand FROM sites WHERE context <> 'CXG'"
 
 
 def lift_index(spark, d) -> DataFrame:
-    at = A.sites(spark, d).where("chrom = 'chr1' and pos % 3 = 0").select("chrom", "pos", "strand").distinct()
-    return at.select(F.col("chrom").alias("from_chrom"), F.col("pos").alias("from_pos"), F.lit("chr2").alias("to_chrom"), (F.floor(F.col("pos") / 4) * 4 + 4).alias("to_pos"), F.col("strand").alias("to_strand"))
+    """Where the sites of all samples lie in another assembly, which lacks those of one context."""
+    at = A.sites(spark, d).where("context <> 'CXG'").select("chrom", "pos", "strand").distinct()
+    return at.select(F.col("chrom").alias("from_chrom"), F.col("pos").alias("from_pos"), F.concat(F.lit("to_"), "chrom").alias("to_chrom"), (F.floor(F.col("pos") / 4) * 4 + 4).alias("to_pos"), F.col("strand").alias("to_strand"))
 
 
 @query(V(f"SELECT to_chrom AS chrom, CASE WHEN to_strand = '-' THEN to_pos - 1 ELSE to_pos END AS pos, '+' AS strand, context, n_meth, n_reads FROM sites JOIN ({INDEX}) ON chrom = from_chrom AND pos = from_pos WHERE sample = 'A'", "sites"))
@@ -155,12 +156,6 @@ CYTOSINES = """SELECT chrom, CAST(i - 1 AS BIGINT) AS pos, CASE WHEN b = 'C' THE
     FROM (SELECT chrom, i, substr(seq, i, 1) AS b, substr(seq, i, 3) AS down, substr(seq, greatest(i - 2, 1), least(i, 3)) AS up FROM (SELECT chrom, seq, unnest(range(1, length(seq) + 1)) AS i FROM genome)) WHERE b IN ('C', 'G')"""
 
 
-def some_genome(spark, d) -> DataFrame:
-    """Chromosomes that reads of conversations may lie on."""
-    g, r = A.genome(spark, d), A.reads(spark, d)
-    return g.join(r.select("chrom").distinct(), "chrom", "left_semi")
-
-
 @query(V(f"SELECT chrom, strand, context, count(*) AS sites, CAST(sum(pos) AS BIGINT) AS positions FROM ({CYTOSINES}) GROUP BY 1, 2, 3", "genome"))
 def contexts(spark, d):
     return S.cytosines(A.genome(spark, d)).groupBy("chrom", "strand", "context").agg(F.count(F.lit(1)).alias("sites"), F.sum("pos").alias("positions"))
@@ -171,27 +166,6 @@ def kmersites(spark, d):
     return S.kmer_sites(A.genome(spark, d))
 
 
-FOUND = "SELECT chrom, pos, strand, context, CASE WHEN pos % 3 = 0 THEN NULL ELSE pos % 11 END AS n FROM ({}) WHERE right(chrom, 1) < '7'".format(CYTOSINES)
-
-
-@query(V(f"SELECT c.chrom, c.context, count(*) AS sites, CAST(sum(coalesce(f.n, 0)) AS BIGINT) AS n_reads, count(f.n) AS found FROM ({CYTOSINES}) c LEFT JOIN ({FOUND}) f ON c.chrom = f.chrom AND c.pos = f.pos AND f.n IS NOT NULL WHERE c.chrom IN (SELECT chrom FROM ({FOUND}) WHERE n IS NOT NULL) GROUP BY 1, 2", "genome"))
-def recovered(spark, d):
-    """Counts at two thirds of the positions of some chromosomes, with the missing sites restored."""
-    spine = S.cytosines(A.genome(spark, d))
-    known = spine.where((F.col("pos") % 3 != 0) & (F.substring("chrom", -1, 1) < "7")).select("chrom", "pos", F.lit(0).cast("long").alias("n_meth"), (F.col("pos") % 11).alias("n_reads"))
-    out = S.recovered(known, spine).withColumn("was", (F.col("pos") % 3 != 0).cast("int"))
-    return out.groupBy("chrom", "context").agg(F.count(F.lit(1)).alias("sites"), F.sum("n_reads").alias("n_reads"), F.count(F.when(F.col("was") == 1, 1)).alias("found"))
-
-
-@query(V(f"SELECT c.chrom, c.pos, c.strand, c.context, coalesce(x.n_meth, 0) AS n_meth, coalesce(x.n_meth + x.n_unmeth, 0) AS n_reads FROM ({CYTOSINES}) c LEFT JOIN (SELECT chrom, pos, pos % 2 AS n_meth, pos % 5 + 1 AS n_unmeth FROM ({CYTOSINES}) WHERE pos % 4 = 0) x ON c.chrom = x.chrom AND c.pos = x.pos WHERE c.context = 'CpG' AND c.strand = '+' AND c.chrom IN (SELECT chrom FROM ({CYTOSINES}) WHERE pos % 4 = 0)", "genome"))
-def unxcounts(spark, d):
-    """Compact counts decoded, with strand, context and missing sites from the genome; CpG of the plus strand."""
-    spine = S.cytosines(A.genome(spark, d))
-    known = spine.where("pos % 4 = 0").select("chrom", "pos", (F.col("pos") % 2).alias("n_meth"), (F.col("pos") % 2 + F.col("pos") % 5 + 1).alias("n_reads"))
-    decoded = S.from_deltas(S.to_deltas(known).withColumnRenamed("pos", "line"), "line").select("chrom", "pos", "n_meth", (F.col("n_meth") + F.col("n_unmeth")).alias("n_reads"))
-    return S.recovered(decoded, spine).where("context = 'CpG' and strand = '+'")
-
-
 #: The check sums the tail as a product of binomials by logarithms of gamma functions.
 DIFF = """SELECT chrom, pos, round(sum(exp(lgamma(ma + ua) - lgamma(k + 1) - lgamma(ma + ua - k) + lgamma(mb + ub) - lgamma(ma + mb - k) - lgamma(ub - ma + k + 1)
     - lgamma(ma + ua + mb + ub - 1) + lgamma(ma + mb) + lgamma(ua + ub))), 6) AS score, ma - 1 AS meth_a, ua - 1 AS unmeth_a, mb - 1 AS meth_b, ub - 1 AS unmeth_b

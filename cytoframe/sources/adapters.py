@@ -51,7 +51,7 @@ def epireads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read-level states (chrom, pos, seq), pos in ordinals of sites."""
     keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
     state = F.when(F.col("l_tax") == 0, "N").when(F.col("l_discount") >= 0.05, "C").otherwise("T")
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").groupBy("l_linestatus", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, state.alias("st")))).alias("a"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, state.alias("st")))).alias("a"))
     return rows.select(F.concat(F.lit("chr"), "l_linestatus").alias("chrom"), (F.col("l_orderkey") % 200).cast("long").alias("pos"), F.array_join(F.transform("a", lambda x: x["st"]), "").alias("seq"), F.col("l_orderkey").alias("read"))
 
 
@@ -77,7 +77,7 @@ VIEWS = {
         CASE WHEN turn % 2 = 0 THEN '+' ELSE '-' END AS strand, regexp_replace(translate(lower(text), 'etaoinshrdlu', 'CGTACGTACGTA'), '[^ACGT]', '', 'g') AS seq FROM conversations) WHERE length(seq) > 0""",
     "epireads": """SELECT 'chr' || l_linestatus AS chrom, CAST(l_orderkey % 200 AS BIGINT) AS pos, l_orderkey AS read,
         string_agg(CASE WHEN l_tax = 0 THEN 'N' WHEN l_discount >= 0.05 THEN 'C' ELSE 'T' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS seq
-        FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_linestatus, l_orderkey""",
+        FROM lineitem GROUP BY l_linestatus, l_orderkey""",
     "alignments": """SELECT o_orderkey AS read, 'chr' || o_orderstatus AS chrom, o_custkey AS start, o_custkey + 50 + o_orderkey % 3 AS stop, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM orders""",
 }
 

@@ -34,6 +34,28 @@ def test_fisher_by_enumeration():
             assert abs(stats.fisher_two_sided(*[np.array([v]) for v in t])[0] - brute(*t)) < 1e-9
 
 
+def test_normal_tails_and_quantiles():
+    from statistics import NormalDist
+
+    x = np.concatenate([np.linspace(-6, 6, 999), np.linspace(6, 26, 99)])
+    assert np.allclose(stats.erfc(x), [math.erfc(v) for v in x], rtol=1e-10, atol=0)
+    p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 500), 10.0 ** -np.arange(1, 12)])
+    assert np.allclose(stats.normal_quantile(p), [NormalDist().inv_cdf(v) for v in p], atol=1e-9)
+
+
+def test_sums_of_hypergeometric_terms(monkeypatch):
+    def brute(p, q, r, s):
+        term = lambda k: math.comb(r + s - 1, k) * math.comb(p + q - 1, p + r - 1 - k) / math.comb(p + q + r + s - 2, p + r - 1)
+        return sum(term(k) for k in range(max(0, r - q), r))
+
+    monkeypatch.setattr(stats, "TERMS", 50)
+    r = np.random.default_rng(4)
+    t = r.integers(1, 40, (4, 300))
+    assert np.allclose(stats.hypergeometric_greater(*t), [brute(*map(int, x)) for x in t.T], atol=1e-9)
+    assert len(stats.hypergeometric_greater(*np.zeros((4, 0), int))) == 0 and len(stats.fisher_two_sided(*np.zeros((4, 0), int))) == 0
+    assert stats.fisher_two_sided(*np.array([[0, 3], [0, 1], [0, 1], [0, 3]])).round(6).tolist() == [1.0, 0.485714]
+
+
 def test_fit_beta_recovers():
     r = np.random.default_rng(1)
     p = r.beta(2.0, 5.0, 200000)
