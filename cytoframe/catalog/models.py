@@ -54,7 +54,17 @@ def hypermr(spark, d):
 
 @query()
 def pmd(spark, d):
-    return H.partly_methylated(patterned(spark, d).where("sample = 'A'").select("chrom", "pos", "n_meth", "n_reads"), bin_size=20)
+    out = H.partly_methylated(patterned(spark, d).where("sample = 'A'").select("chrom", "pos", "n_meth", "n_reads"), bin_size=20)
+    return out.select("chrom", "start", "stop", *[F.round(c, 4).alias(c) if c.endswith("score") else c for c in ("start_score", "start_certainty", "stop_score", "stop_certainty")])
+
+
+@query()
+def pmd_replicates(spark, d):
+    """The same from three samples side by side, the third as an array of levels."""
+    rows = patterned(spark, d)
+    one = lambda s: rows.where(F.col("sample") == s).select("chrom", "pos", "n_meth", "n_reads")
+    levels = one("R").select("chrom", "pos", (F.col("n_meth").cast("double") / F.col("n_reads")).alias("level"))
+    return H.domain_names(H.partly_methylated(H.pooled_arrays([one("A"), one("N"), levels], arrays=(2,)), bin_size=20)).select("chrom", "start", "stop", "name")
 
 
 #: Six samples: return flag by line status. Factors: base, and whether the flag is A.

@@ -163,7 +163,9 @@ def counts_nano(spark, d):
     return R.nano_counts(rows)
 
 
-@query()
+@query(V(""", c AS (SELECT qname, chrom, pos, strand, length(seq) AS n, list_filter(range(length(seq)), lambda i: seq[i + 1] = 'C') AS p FROM reads),
+    m AS (SELECT qname, chrom, strand, CASE WHEN strand = '+' THEN pos + p[k] ELSE pos + n - 1 - p[k] END AS pos, kind, prob FROM c JOIN (VALUES (1, 'h', 10), (3, 'h', 20), (1, 'm', 200), (3, 'm', 220)) v(k, kind, prob) ON len(p) >= k)
+    SELECT chrom, pos, strand, count(DISTINCT qname) AS n_reads, round(coalesce(sum(prob) FILTER (kind = 'h'), 0) / (255.0 * count(DISTINCT qname)), 6) AS hydroxy, round(coalesce(sum(prob) FILTER (kind = 'm'), 0) / (255.0 * count(DISTINCT qname)), 6) AS methyl FROM m GROUP BY 1, 2, 3""", "reads"))
 def modification_tags(spark, d):
     """Reads with base-modification tags, parsed and summed."""
     rows = A.reads(spark, d).select(F.col("qname").alias("read"), "chrom", "pos", "strand", "seq", F.lit("C+h,0,1;C+m,0,1;").alias("mm"), F.array(*map(F.lit, (10, 20, 200, 220))).alias("ml"))

@@ -4,10 +4,7 @@ for plus reads, and to be reverse-complemented for minus reads."""
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,16 +166,43 @@ def guess_protocol(fastq: DataFrame, shares: dict[str, float] | None = None) ->
     return mean.select("reads", F.round("fraction", 6).alias("fraction"), kind.alias("protocol"), F.when(sure, "high").otherwise("low").alias("confidence"))
 
 
-def reference_read(seq: str, cigar: list[tuple[int, str]], fill: str = "N") -> str:
+#: How mappers name the tag of the conversion, and the pattern of its values for reads in which G was turned to A.
+MAPPERS = {"bsmap": ("ZS", "^.-"), "bismark": ("XR", "^GA$")}
+
+
+def standardize(reads: DataFrame, mapper: str) -> DataFrame:
+    """Alignments of a mapper in one form: a column ``conversion`` (T or A), mismatches ``nm``, no qualities and no other tags, and the sequence in reading direction.
+
+    ``reads`` has a map ``tags`` of strings, and strand and seq as stored. A read without the mapper's tag or NM fails the query, as it can't be read. Mappers whose tags are in that form
+    already ("abismal", "walt") pass.
+    """
+    if mapper in ("abismal", "walt"):
+        return reads
+    if mapper not in MAPPERS:
+        raise ValueError(f"unknown mapper {mapper}")
+    tag, a_rich = MAPPERS[mapper]
+    value, nm = F.try_element_at("tags", F.lit(tag)), F.try_element_at("tags", F.lit("NM"))
+    missing = lambda t: F.raise_error(F.concat(F.lit(f"no {t} tag in "), F.col("qname")))
+    out = {
+        "conversion": F.when(value.isNull(), missing(tag)).when(value.rlike(a_rich), "A").otherwise("T"),
+        "nm": F.when(nm.isNull(), missing("NM").cast("long")).otherwise(nm.cast("long")),
+        "seq": F.when(F.col("strand") == "-", E.reverse_complement("seq")).otherwise(F.col("seq")),
+        "qual": F.lit("*"),
+    }
+    return reads.withColumns(out).drop("tags")
+
+
+def over_reference(seq: Column, cigar: Column, fill: str = "N") -> Column:
     """A read laid out over the reference: insertions and clips dropped, deletions filled."""
-    out, at = [], 0
-    for n, op in cigar:
-        if op in "M=X":
-            out.append(seq[at : at + n])
-        elif op in "DN":
-            out.append(fill * n)
-        at += n if op in OF_READ else 0
-    return "".join(out)
+    runs = aligned_blocks(cigar, F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("s"))
+
+    def add(acc: Column, x: Column) -> Column:
+        gap = F.repeat(F.lit(fill), (x["r"] - acc["at"]).cast("int"))
+        return F.struct((x["r"] + x["n"]).alias("at"), F.concat(acc["s"], gap, F.substr(seq, (x["q"] + 1).cast("int"), x["n"].cast("int"))).alias("s"))
+
+    laid = F.aggregate(runs, start, add, lambda acc: acc["s"])
+    return F.rpad(laid, reference_width(cigar).cast("int"), fill)
 
 
 def merge_mates(rows: DataFrame, max_fragment: int = 10000) -> DataFrame:
@@ -186,31 +210,27 @@ def merge_mates(rows: DataFrame, max_fragment: int = 10000) -> DataFrame:
 
     Ends on one chromosome whose fragment is positive and at most ``max_fragment`` merge: a gap is filled with N, in an overlap the first end's
     bases stay; an end that reaches past the other's start is cut there. Other ends are passed on alone. The result's cigar is the fragment's width.
+    Only ends of one name meet; all else is done by columns.
     """
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        ends = []
-        for r in group.sort_values("end").itertuples():
-            cigar = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", r.cigar)]
-            ends.append((r, reference_read(r.seq, cigar)))
-        out = []
-        if len(ends) == 2 and ends[0][0].chrom == ends[1][0].chrom and ends[0][0].strand != ends[1][0].strand:
-            (a, s), (b, t) = ends
-            left, right = ((a, s), (b, t)) if a.strand == "+" else ((b, t), (a, s))
-            start, stop = left[0].pos, right[0].pos + len(right[1])
-            if 0 < stop - start <= max_fragment:
-                letters = ["N"] * (stop - start)
-                for r, x in ((b, t), (a, s)):  # the first end is laid over the second
-                    for i, c in enumerate(x):
-                        k = r.pos + i - start
-                        if 0 <= k < len(letters) and c != "N":
-                            letters[k] = c
-                out.append((a.name, a.chrom, start, a.strand, f"{len(letters)}M", "".join(letters), 2))
-        if not out:
-            out = [(r.name, r.chrom, r.pos, r.strand, f"{len(x)}M", x, 1) for r, x in ends]
-        return pd.DataFrame(out, columns=["name", "chrom", "pos", "strand", "cigar", "seq", "ends"])
-
-    return rows.groupBy("name").applyInPandas(merge, "name string, chrom string, pos long, strand string, cigar string, seq string, ends int")
+    end = F.struct("end", "chrom", F.col("pos").cast("long").alias("pos"), "strand", over_reference(F.col("seq"), F.col("cigar")).alias("x"))
+    both = rows.select("name", end.alias("e")).groupBy("name").agg(F.sort_array(F.collect_list("e")).alias("ends"))
+    a, b = F.get("ends", F.lit(0)), F.get("ends", F.lit(1))
+    plus = a["strand"] == "+"
+    start = F.when(plus, a["pos"]).otherwise(b["pos"])
+    right = F.when(plus, b["pos"] + F.length(b["x"])).otherwise(a["pos"] + F.length(a["x"]))
+    width = right - start
+    fits = (F.size("ends") == 2) & (a["chrom"] == b["chrom"]) & (a["strand"] != b["strand"]) & (width > 0) & (width <= max_fragment)
+    both = both.select("name", "ends", start.alias("start"), width.alias("width"), F.coalesce(fits, F.lit(False)).alias("fits"))
+
+    def framed(e: Column) -> Column:
+        ahead = F.repeat(F.lit("N"), F.greatest(F.lit(0), e["pos"] - F.col("start")).cast("int"))
+        return F.split(F.rpad(F.concat(ahead, F.substr(e["x"], (F.greatest(F.lit(0), F.col("start") - e["pos"]) + 1).cast("int"), F.lit(1 << 30))), F.col("width").cast("int"), "N"), "")
+
+    merged = F.array_join(F.zip_with(framed(a), framed(b), lambda x, y: F.when(x == "N", y).otherwise(x)), "")
+    read = lambda e, pos, x, n: F.struct(e["chrom"].alias("chrom"), pos.alias("pos"), e["strand"].alias("strand"), F.concat(F.length(x).cast("string"), F.lit("M")).alias("cigar"), x.alias("seq"), F.lit(n).alias("ends"))
+    alone = F.transform("ends", lambda e: read(e, e["pos"], e["x"], 1))
+    out = both.select("name", F.explode(F.when(F.col("fits"), F.array(read(a, F.col("start"), merged, 2))).otherwise(alone)).alias("r"))
+    return out.select("name", "r.chrom", "r.pos", "r.strand", "r.cigar", "r.seq", "r.ends")
 
 
 def suffix_length(names: DataFrame, longest: int = 5) -> DataFrame:
@@ -227,25 +247,22 @@ def nano_counts(calls: DataFrame) -> DataFrame:
 
 
 def parse_modifications(reads: DataFrame) -> DataFrame:
-    """Base-modification tags (read, chrom, pos, strand, seq, mm, ml) as calls. ``mm`` has parts like ``C+h,0,2;``: numbers of unmodified C to skip.
+    """Base-modification tags (read, chrom, pos, strand, seq as sequenced, mm, ml, and cigar if there are gaps) as calls.
 
-    Reads are taken as aligned without gaps.
+    ``mm`` has parts like ``C+h,0,2;``: numbers of unmodified C to skip; ``ml`` has a probability for each number of every part. Calls on bases that are not aligned are dropped.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                places = [i for i, c in enumerate(r.seq) if c == "C"]
-                k = 0
-                for kind, skips in re.findall(r"C\+([hm])[?.]?((?:,\d+)*)", r.mm):
-                    at = -1
-                    for skip in map(int, skips.split(",")[1:]):
-                        at += skip + 1
-                        if at < len(places) and k < len(r.ml):
-                            i = places[at]
-                            rpos = r.pos + i if r.strand == "+" else r.pos + len(r.seq) - 1 - i
-                            out.append((r.read, r.chrom, rpos, r.strand, kind, int(r.ml[k])))
-                        k += 1
-            yield pd.DataFrame(out, columns=["read", "chrom", "pos", "strand", "kind", "prob"])
-
-    return reads.select("read", "chrom", "pos", "strand", "seq", "mm", "ml").mapInPandas(run, "read string, chrom string, pos long, strand string, kind string, prob int")
+    size = F.length("seq")
+    cigar = F.col("cigar") if "cigar" in reads.columns else F.concat(size.cast("string"), F.lit("M"))
+    places = F.filter(F.transform(F.split("seq", ""), lambda c, i: F.when(c == "C", i)), lambda i: i.isNotNull())
+    rows = reads.select("read", "chrom", "strand", size.alias("size"), places.alias("places"), aligned_blocks(cigar, F.col("pos")).alias("blocks"), "ml", F.filter(F.split("mm", ";"), lambda p: p != "").alias("parts"))
+    numbers = lambda p: F.transform(F.filter(F.split(p, ","), lambda x, i: i > 0), lambda x: x.cast("int"))
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<struct<p:string,k:int>>").alias("out"))
+    # of each part: how many numbers the parts before it have
+    counted = F.aggregate("parts", start, lambda acc, p: F.struct((acc["k"] + F.size(F.split(p, ",")) - 1).alias("k"), F.concat(acc["out"], F.array(F.struct(p.alias("p"), acc["k"].alias("k")))).alias("out")), lambda acc: acc["out"])
+    part = rows.select("read", "chrom", "strand", "size", "places", "blocks", "ml", F.explode(counted).alias("part")).where(F.col("part.p").rlike(r"^C\+[hm][?.]?(,|$)"))
+    ordinals = F.aggregate(numbers(F.col("part.p")), F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + n + 1)))
+    call = part.select("read", "chrom", "strand", "size", "places", "blocks", "ml", F.substr("part.p", F.lit(3), F.lit(1)).alias("kind"), F.col("part.k").alias("k"), F.posexplode(ordinals).alias("j", "at"))
+    call = call.select("read", "chrom", "strand", "size", "blocks", "kind", F.get("places", F.col("at")).alias("i"), F.get("ml", F.col("k") + F.col("j")).cast("int").alias("prob")).where("i is not null and prob is not null")
+    stored = F.when(F.col("strand") == "+", F.col("i")).otherwise(F.col("size") - 1 - F.col("i"))
+    under = F.get(F.filter("blocks", lambda b: (b["q"] <= stored) & (stored < b["q"] + b["n"])), F.lit(0))
+    return call.select("read", "chrom", (under["r"] + stored - under["q"]).alias("pos"), "strand", "kind", "prob").where("pos is not null")
