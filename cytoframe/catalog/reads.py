@@ -10,6 +10,7 @@ from cytoframe.catalog.sql import RATIOS, V, counters
 from cytoframe.operators import levels as L
 from cytoframe.operators import reads as R
 from cytoframe.operators import sites as S
+from cytoframe.operators.many import from_reads
 from cytoframe.sources import adapters as A
 
 #: Bases of reads: place in the read, reference position, and base as sequenced.
@@ -172,14 +173,58 @@ def modification_tags(spark, d):
     return R.nano_counts(R.parse_modifications(rows))
 
 
-@query(V(BASES + CYT + COUNTS + f" SELECT {RATIOS} FROM (SELECT {counters()} FROM k)", "genome", "reads"))
+def many(spark, d):
+    return from_reads(A.reads(spark, d), A.genome(spark, d))
+
+
+#: The kinds of sites of which levels are reported, from the counts k.
+KINDS = "SELECT 'cytosines' AS kind, * EXCLUDE (chrom, pos, strand) FROM k UNION ALL SELECT CASE left(context, 3) WHEN 'CpG' THEN 'cpg' WHEN 'CHH' THEN 'chh' WHEN 'CCG' THEN 'ccg' ELSE 'cxg' END, * EXCLUDE (chrom, pos, strand) FROM k UNION ALL SELECT 'cpg_symmetric', n_meth, n_reads, context FROM (SELECT CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_reads) AS BIGINT) AS n_reads, CASE WHEN bool_or(context LIKE '%x') THEN 'CpGx' ELSE 'CpG' END AS context FROM k WHERE context LIKE 'CpG%' GROUP BY chrom, CASE WHEN strand = '-' THEN pos - 1 ELSE pos END HAVING count(*) = 2)"
+
+
+@query(V(BASES + CYT + COUNTS + f" SELECT kind, {RATIOS} FROM (SELECT kind, {counters()} FROM ({KINDS}) GROUP BY 1)", "genome", "reads"))
 def many_levels(spark, d):
     """Levels straight from reads, as one of the outputs that share a scan."""
-    rows = calls(spark, d)
-    return rows.agg(*L.counters()).select(*[F.round("total_meth", 6).alias(c) if c == "total_meth" else F.col(c) for c in L.RAW], *L.derived())
+    return many(spark, d)["levels"]
 
 
 @query(V(BASES + CYT + COUNTS + """, y AS (SELECT chrom, CASE WHEN strand = '-' THEN pos - 1 ELSE pos END AS pos, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_reads) AS BIGINT) AS n_reads FROM k WHERE context LIKE 'CpG%' GROUP BY 1, 2) SELECT * FROM y WHERE n_reads > 0""", "genome", "reads"))
 def many_sym(spark, d):
-    """Symmetric counts straight from reads."""
-    return S.symmetric(calls(spark, d)).select("chrom", "pos", "n_meth", "n_reads").where("n_reads > 0")
+    return many(spark, d)["sym"]
+
+
+@query(V(BASES + HITS + f" SELECT CAST(fpos AS BIGINT) AS fpos, {RATES} FROM h GROUP BY 1", "genome", "reads"))
+def many_bsrate(spark, d):
+    return many(spark, d)["bsrate"]
+
+
+@query(V(BASES + CYT + COUNTS + " SELECT chrom, pos, pos - coalesce(lag(pos) OVER (PARTITION BY chrom ORDER BY pos), 0) AS delta, n_meth, n_reads - n_meth AS n_unmeth FROM k WHERE n_reads > 0", "genome", "reads"))
+def many_xcounts(spark, d):
+    return many(spark, d)["xcounts"]
+
+
+@query(V(BASES + INDEX + ", s AS (SELECT qname, b.chrom, i, CASE WHEN o IN ('C', 'T') THEN o ELSE 'N' END AS st FROM b JOIN ix ON ix.chrom = b.chrom AND ix.pos = CASE WHEN strand = '-' THEN rpos - 1 ELSE rpos END) SELECT qname, chrom, min(i) AS pos, string_agg(st, '' ORDER BY i) AS seq FROM s GROUP BY 1, 2 HAVING count(*) FILTER (st <> 'N') > 0", "genome", "reads"))
+def many_states(spark, d):
+    return many(spark, d)["states"]
+
+
+@query(f"SELECT name, length(seq1) AS n FROM (SELECT page_id AS name, s1 AS seq1, CASE WHEN page_id % 2 = 0 THEN translate(s1, 'TG', 'CA') ELSE s2 END AS seq2 FROM ({MATES})) p WHERE length(seq1) >= 20 AND length(seq2) >= 20 AND NOT (SELECT count(*) FILTER (a = b OR a || b IN ('TC', 'GA')) > 0.95 * count(*) FROM (SELECT seq1[j] AS a, seq2[j] AS b FROM (SELECT unnest(range(1, least(length(seq1), length(seq2)) + 1)) AS j)))")
+def cleanhp_kept(spark, d):
+    """The pairs that are left."""
+    return R.clean_hairpins(mates(spark, d)).select("name", F.length("seq1").alias("n"))
+
+
+#: Mates weigh against their first reads.
+@query(f"""WITH m AS ({MATES}), p AS (SELECT page_id AS name, 1 / (1 + exp(greatest(-500, least(500, ln(0.495 / 0.25) * a + ln(0.25 / 0.005) * c - ln(0.25 / 0.005) * g - ln(0.495 / 0.25) * t)))) AS t
+    FROM (SELECT page_id, """ + ", ".join(f"(length(s1) - length(replace(s1, '{x}', ''))) - (length(s2) - length(replace(s2, '{x}', ''))) AS {x.lower()}" for x in "ACGT") + """ FROM (SELECT page_id, s1, CASE WHEN page_id % 2 = 0 THEN translate(s1, 'TG', 'CA') ELSE s2 END AS s2 FROM m)))
+    SELECT count(*) AS reads, round(avg(t), 6) AS fraction, CASE WHEN avg(t) > 0.9 THEN 'wgbs' WHEN avg(t) < 0.1 THEN 'pbat' ELSE 'rpbat' END AS protocol,
+    CASE WHEN avg(t) > 0.99 OR avg(t) < 0.01 OR (avg(t) > 0.2 AND avg(t) < 0.8) THEN 'high' ELSE 'low' END AS confidence FROM p""")
+def guessprotocol_pairs(spark, d):
+    return R.guess_protocol(mates(spark, d).select("name", F.col("seq1").alias("seq"), "seq2"))
+
+
+@query(V("SELECT qname, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN length(seq) % 3 = 0 THEN 'A' ELSE 'T' END AS conversion, CAST(length(seq) % 5 AS BIGINT) AS nm, '*' AS qual FROM reads", "reads"))
+def format_tags(spark, d):
+    """Alignments of a mapper that names the conversion GA or CT, in one form."""
+    n = F.length("seq")
+    tags = F.create_map(F.lit("XR"), F.when(n % 3 == 0, "GA").otherwise("CT"), F.lit("NM"), (n % 5).cast("string"))
+    return R.standardize(A.reads(spark, d).withColumn("tags", tags), "bismark").select("qname", "seq", "conversion", "nm", "qual")

@@ -122,3 +122,29 @@ def lift_index_text(spark, d):
 def sizes_text(spark, d):
     rows = A.table(spark, d, "customer")
     return T.parse_sizes(rows.select(F.concat(F.lit("chr"), F.col("c_custkey").cast("string"), F.lit("\t"), (F.col("c_custkey") * 10).cast("string")).alias("value")))
+
+
+@query(V("SELECT chrom, pos, " + ", ".join(f"CAST(coalesce(sum({c}) FILTER (sample = '{s}'), 0) AS DOUBLE) AS {s}_{k}" for s in "ANR" for k, c in (("n", "n_reads"), ("m", "n_meth"))) + " FROM sites WHERE chrom = 'chr2' AND pos >= 500 AND pos < 900 GROUP BY 1, 2", "sites"))
+def table_lookup(spark, d):
+    """Rows of a merged table in a range."""
+    t = S.merge_table(A.sites(spark, d), list("ANR"))
+    lines = t.select(F.concat_ws("\t", "site", *[F.col(f"{s}_{k}").cast("string") for s in "ANR" for k in "RM"]).alias("value"))
+    rows = T.lookup_sites(T.parse_table(lines), "chr2", 500, 900)
+    return rows.select("chrom", "pos", *[F.col(k)[i].alias(f"{s}_{k}") for i, s in enumerate("ANR") for k in "nm"])
+
+
+@query(V("SELECT chrom, pos, read, seq FROM epireads WHERE chrom = 'chrF' AND pos < 60 AND pos + length(seq) > 50", "epireads"))
+def epiread_lookup(spark, d):
+    """Reads with a site in a range."""
+    return T.lookup_reads(A.epireads(spark, d).withColumn("stop", F.col("pos") + F.length("seq")), "chrF", 50, 60).drop("stop")
+
+
+@query(V("SELECT CAST(k - 1 AS INTEGER) AS at, value FROM (SELECT 'sites: ' || count(*) AS a, 'reads: ' || CAST(sum(n_reads) AS BIGINT) AS b, 'deepest: ' || max(n_reads) AS c, 'none: NA' AS e FROM sites) UNPIVOT (value FOR name IN (a, b, c, e)) JOIN (VALUES ('a', 1), ('b', 2), ('c', 3), ('e', 4)) v(name, k) USING (name)", "sites"))
+def summary_lines(spark, d):
+    row = A.sites(spark, d).agg(F.count(F.lit(1)).alias("sites"), F.sum("n_reads").alias("reads"), F.max("n_reads").alias("deepest"), F.lit(None).cast("long").alias("none"))
+    return T.format_summary(row)
+
+
+@query(V("SELECT '{\"sample\":\"' || sample || '\",\"sites\":' || count(*) || ',\"none\":null}' AS value FROM sites GROUP BY sample", "sites"))
+def summary_json(spark, d):
+    return T.format_json(A.sites(spark, d).groupBy("sample").agg(F.count(F.lit(1)).alias("sites"), F.lit(None).cast("long").alias("none")))

@@ -15,11 +15,22 @@ from cytoframe.operators import sites as S
 OF_READ, OF_REFERENCE = "MIS=X", "MDN=X"
 
 
-def unique_reads(rows: DataFrame, seed: int = 408) -> DataFrame:
-    """One read of those that share chrom, start, stop and strand, chosen by a seeded hash; with the number of copies."""
-    group = Window.partitionBy("chrom", "start", "stop", "strand")
-    one = F.row_number().over(group.orderBy(F.xxhash64(F.lit(seed), "read"), "read"))
-    return rows.withColumn("copies", F.count(F.lit(1)).over(group)).withColumn("_one", one).where("_one = 1").drop("_one")
+def unique_reads(rows: DataFrame, seed: int = 408, most: int | None = None) -> DataFrame:
+    """One read of those that share chrom, start, stop and strand, chosen by a seeded hash; with the number of copies.
+
+    With ``most``, the choice is among that many reads, the first by name; all copies are counted all the same. Groups aren't gathered: the choice is an aggregate with partial sums.
+    """
+    keys = ["chrom", "start", "stop", "strand"]
+    group = Window.partitionBy(*keys)
+    if most is not None:
+        near = rows.withColumn("copies", F.count(F.lit(1)).over(group)).withColumn("_k", F.row_number().over(group.orderBy("read"))).where(F.col("_k") <= most).drop("_k")
+    else:
+        near = rows.withColumn("copies", F.lit(1).cast("long"))
+    other = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*other), F.struct(F.xxhash64(F.lit(seed), "read"), "read")).alias("_r")
+    copies = F.max("copies") if most is not None else F.sum("copies")
+    one = near.groupBy(*keys).agg(copies.alias("copies"), first)
+    return one.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns], "copies")
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
@@ -63,7 +74,10 @@ def bases(reads: DataFrame) -> DataFrame:
 
 def counts(reads: DataFrame, genome_sites: DataFrame, covered_only: bool = False) -> DataFrame:
     """Per-cytosine counts: reads of the site's strand show C or T; the other strand's reads tell whether the site is mutated."""
-    b = bases(reads)
+    return counts_of_bases(bases(reads), genome_sites, covered_only)
+
+
+def counts_of_bases(b: DataFrame, genome_sites: DataFrame, covered_only: bool = False) -> DataFrame:
     per = b.groupBy("chrom", F.col("rpos").alias("pos")).agg(*[F.count(F.when((F.col("strand") == s) & (F.col("original") == x), 1)).alias(f"{n}{x}") for s, n in (("+", "p"), ("-", "n")) for x in "ACGT"])
     at = genome_sites.join(per, ["chrom", "pos"], "inner" if covered_only else "left").na.fill(0)
     own = lambda x: F.when(F.col("strand") == "+", F.col(f"p{x}")).otherwise(F.col(f"n{x}"))
@@ -81,7 +95,10 @@ def cpg_index(genome: DataFrame) -> DataFrame:
 
 def states(reads: DataFrame, index: DataFrame) -> DataFrame:
     """Read-level states over CpG: (qname, chrom, pos, seq), pos the number of the first site under the read, seq of C, T and N; reads with a state only."""
-    b = bases(reads)
+    return states_of_bases(bases(reads), index)
+
+
+def states_of_bases(b: DataFrame, index: DataFrame) -> DataFrame:
     site = F.when(F.col("strand") == "-", F.col("rpos") - 1).otherwise(F.col("rpos"))
     state = F.when(F.col("original") == "C", "C").when(F.col("original") == "T", "T").otherwise("N")
     known = b.select("qname", "chrom", site.alias("pos"), state.alias("state")).join(index, ["chrom", "pos"])
@@ -94,8 +111,11 @@ def states(reads: DataFrame, index: DataFrame) -> DataFrame:
 def conversion(reads: DataFrame, genome: DataFrame, all_contexts: bool = False) -> DataFrame:
     """Bases over reference cytosines of the read's strand outside CpG, by place in the read: (fpos, strand, total, converted, errors)."""
     spine = S.cytosines(genome)
-    spine = spine if all_contexts else spine.where(~E.is_cpg())
-    hit = bases(reads).join(spine.select("chrom", F.col("pos").alias("rpos"), "strand"), ["chrom", "rpos", "strand"])
+    return conversion_of_bases(bases(reads), spine if all_contexts else spine.where(~E.is_cpg()))
+
+
+def conversion_of_bases(b: DataFrame, spine: DataFrame) -> DataFrame:
+    hit = b.join(spine.select("chrom", F.col("pos").alias("rpos"), "strand"), ["chrom", "rpos", "strand"])
     o = F.col("original")
     return hit.groupBy("fpos", "strand").agg(F.count(F.when(o.isin("C", "T"), 1)).alias("total"), F.count(F.when(o == "T", 1)).alias("converted"), F.count(F.when(o.isin("A", "G"), 1)).alias("errors"))
 
@@ -141,6 +161,14 @@ def hairpins(pairs: DataFrame, cutoff: float = 0.95, bins: int = 20, min_length:
     return out.select("name", "n", "matching", F.round(share, 6).alias("share"), F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin"), (share > cutoff).alias("hairpin"))
 
 
+def clean_hairpins(pairs: DataFrame, cutoff: float = 0.95, min_length: int = 20, min_valid: float = 0.5, invert: bool = False) -> DataFrame:
+    """The pairs (name, seq1, seq2, ...) that are long enough, have at least that share of valid bases, and are no hairpins; or with ``invert`` those that are."""
+    valid = E.base_count("seq1", "A") + E.base_count("seq1", "C") + E.base_count("seq1", "G") + E.base_count("seq1", "T") + E.base_count("seq2", "A") + E.base_count("seq2", "C") + E.base_count("seq2", "G") + E.base_count("seq2", "T")
+    good = pairs.where((F.length("seq1") >= min_length) & (F.length("seq2") >= min_length) & (valid >= min_valid * (F.length("seq1") + F.length("seq2"))))
+    found = hairpins(good, cutoff, min_length=min_length).where("hairpin").select("name")
+    return good.join(found, "name", "left_semi" if invert else "left_anti")
+
+
 def protocol_model(t_rich: bool, shares: dict[str, float] | None = None, conversion: float = 0.98) -> dict[str, float]:
     """Base shares of converted reads: C mostly turned to T, or G to A."""
     out = dict(shares or dict.fromkeys("ACGT", 0.25))
@@ -151,9 +179,11 @@ def protocol_model(t_rich: bool, shares: dict[str, float] | None = None, convers
 
 
 def protocol_votes(fastq: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
-    """Posterior of each read (name, seq) of being rich in T rather than in A."""
+    """Posterior of each read (name, seq) of being rich in T rather than in A. With mates in ``seq2``, whose bases are turned the other way, that of the pair."""
     t, a = protocol_model(True, shares), protocol_model(False, shares)
     total = sum((E.base_count("seq", x) * (math.log(a[x]) - math.log(t[x])) for x in "ACGT"), F.lit(0.0))
+    if "seq2" in fastq.columns:
+        total = total - sum((E.base_count("seq2", x) * (math.log(a[x]) - math.log(t[x])) for x in "ACGT"), F.lit(0.0))
     return fastq.select("name", (1 / (1 + F.exp(F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))))).alias("t_rich"))
 
 

@@ -277,3 +277,35 @@ def write_sorted(df: DataFrame, path: str, keys: list[str], gzip: bool = False)
     """Lines in order of ``keys``, range-partitioned so that files in order of name are in order."""
     out = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value")
     out.write.text(path, compression="gzip" if gzip else "none")
+
+
+def format_summary(row: DataFrame) -> DataFrame:
+    """Lines ``key: value`` of a table of one row; null is NA."""
+    lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA"))) for c in row.columns]
+    return row.select(F.posexplode(F.array(*lines)).alias("at", "value"))
+
+
+def format_json(rows: DataFrame) -> DataFrame:
+    """Each row as a line of JSON, with its nulls."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def store_sites(sites: DataFrame, path: str) -> None:
+    """Rows with chrom and pos as Parquet in order, so that row groups outside a range are passed over by their statistics."""
+    sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.parquet(path)
+
+
+def store_reads(epireads: DataFrame, path: str) -> None:
+    """Epireads (chrom, pos, seq) in order, with the column ``stop`` that lookups prune by."""
+    rows = epireads.withColumn("stop", F.col("pos") + F.length("seq"))
+    rows.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.parquet(path)
+
+
+def lookup_sites(sites: DataFrame, chrom: str, start: int, stop: int) -> DataFrame:
+    """Rows at positions from start to below stop."""
+    return sites.where((F.col("chrom") == chrom) & (F.col("pos") >= start) & (F.col("pos") < stop))
+
+
+def lookup_reads(stored: DataFrame, chrom: str, start: int, stop: int) -> DataFrame:
+    """Stored epireads with a site in the range: they begin before its stop and end after its start."""
+    return stored.where((F.col("chrom") == chrom) & (F.col("pos") < stop) & (F.col("stop") > start))
