@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cytoframe.catalog import query
@@ -33,6 +34,33 @@ def hmr(spark, d):
     return H.low_regions(observed(spark, d), gap=50)
 
 
+#: Given parameters: Beta-binomial of the low and the high state, and chances to stay.
+GIVEN = H.Model(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.05, 0.95]]), np.array([[[1.5, 6.0], [7.0, 2.0]]]), (0, 1), np.zeros((2, 2), bool))
+#: Forward and backward probabilities by recursion over the places in all segments together, each step scaled to a sum of 1.
+DECODED = """, o AS (SELECT chrom, pos, n_reads, CASE WHEN pos % 1000 < 300 THEN n_meth // 6 ELSE n_reads - n_meth // 6 END AS m FROM sites WHERE sample = 'A' AND n_reads > 0),
+    d AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) > 50 THEN 1 ELSE 0 END AS far FROM o), s AS (SELECT *, sum(far) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg FROM d),
+    l AS (SELECT chrom, seg, pos, row_number() OVER (PARTITION BY chrom, seg ORDER BY pos) AS i, count(*) OVER (PARTITION BY chrom, seg) AS n, lgamma(m + 1.5) + lgamma(n_reads - m + 6.0) - lgamma(n_reads + 7.5) - lgamma(1.5) - lgamma(6.0) + lgamma(7.5) AS l0, lgamma(m + 7.0) + lgamma(n_reads - m + 2.0) - lgamma(n_reads + 9.0) - lgamma(7.0) - lgamma(2.0) + lgamma(9.0) AS l1 FROM s),
+    e AS MATERIALIZED (SELECT chrom, seg, pos, i, n, exp(l0 - greatest(l0, l1)) AS b0, exp(l1 - greatest(l0, l1)) AS b1 FROM l),
+    f AS (SELECT chrom, seg, i, b0 / (b0 + b1) AS a0, b1 / (b0 + b1) AS a1 FROM e WHERE i = 1 UNION ALL
+        SELECT e.chrom, e.seg, e.i, (a0 * 0.9 + a1 * 0.05) * b0 / ((a0 * 0.9 + a1 * 0.05) * b0 + (a0 * 0.1 + a1 * 0.95) * b1), (a0 * 0.1 + a1 * 0.95) * b1 / ((a0 * 0.9 + a1 * 0.05) * b0 + (a0 * 0.1 + a1 * 0.95) * b1) FROM f JOIN e ON e.chrom = f.chrom AND e.seg = f.seg AND e.i = f.i + 1),
+    g AS (SELECT chrom, seg, i, b0, b1, CAST(0.5 AS DOUBLE) AS c0, CAST(0.5 AS DOUBLE) AS c1 FROM e WHERE i = n UNION ALL
+        SELECT e.chrom, e.seg, e.i, e.b0, e.b1, x / (x + y), y / (x + y) FROM (SELECT chrom, seg, i, 0.9 * b0 * c0 + 0.1 * b1 * c1 AS x, 0.05 * b0 * c0 + 0.95 * b1 * c1 AS y FROM g) g JOIN e ON e.chrom = g.chrom AND e.seg = g.seg AND e.i = g.i - 1)
+    SELECT e.chrom, e.pos, CAST(CASE WHEN a0 * c0 >= a1 * c1 THEN 0 ELSE 1 END AS INTEGER) AS state, round(greatest(a0 * c0, a1 * c1) / (a0 * c0 + a1 * c1), 5) AS post FROM e JOIN f USING (chrom, seg, i) JOIN g USING (chrom, seg, i)"""
+
+
+@query(V(DECODED, "sites"))
+def hmr_decoded(spark, d):
+    """Posterior decoding under given parameters, which pass through their text form."""
+    rows = H.segmented(observed(spark, d), 50)
+    return H.decode(rows, H.Model.from_json(GIVEN.to_json())).select("chrom", "pos", "state", F.round("post", 5).alias("post"))
+
+
+@query()
+def hmr_given(spark, d):
+    """Low regions under given parameters."""
+    return H.low_regions(observed(spark, d), gap=50, model=GIVEN)
+
+
 @query()
 def hmr_partial(spark, d):
     """Partly methylated regions, by folded counts."""
@@ -116,7 +144,22 @@ def assays(spark, d):
     return rows.where("bs_m is not null and tab_m is not null and ox_m is not null")
 
 
-@query()
+#: Expectation-maximisation site by site until no share moves by 1e-10, at most 500 rounds.
+MLML = """, w AS (SELECT chrom, pos, a.n_meth AS bm, a.n_reads - a.n_meth AS bu, n.n_meth AS tm, n.n_reads - n.n_meth AS tu, r.n_meth AS om, r.n_reads - r.n_meth AS ou FROM (SELECT * FROM sites WHERE sample = 'A') a JOIN (SELECT * FROM sites WHERE sample = 'N') n USING (chrom, pos) JOIN (SELECT * FROM sites WHERE sample = 'R') r USING (chrom, pos)),
+    s AS MATERIALIZED (SELECT chrom, pos, round_even(bm * least(1, 500.0::DOUBLE / (bm + bu)), 0) AS t, round_even(bu * least(1, 500.0::DOUBLE / (bm + bu)), 0) AS u, round_even(tm * least(1, 500.0::DOUBLE / (tm + tu)), 0) AS h, round_even(tu * least(1, 500.0::DOUBLE / (tm + tu)), 0) AS g,
+        round_even(om * least(1, 500.0::DOUBLE / (om + ou)), 0) AS m, round_even(ou * least(1, 500.0::DOUBLE / (om + ou)), 0) AS l FROM w),
+    h0 AS (SELECT *, m / (m + l) AS xm, h / (h + g) AS xh, u / (t + u) AS xu FROM s),
+    i AS (SELECT *, least(0.98, greatest(0.01, xm)) AS p0, least(0.98, greatest(0.01, xh)) AS q0 FROM h0),
+    e AS (SELECT chrom, pos, t, u, h, g, m, l, xm, xh, xu, p0 / greatest(1, (p0 + q0) / 0.99) AS p, q0 / greatest(1, (p0 + q0) / 0.99) AS q, 0 AS k, 1.0::DOUBLE AS moved FROM i UNION ALL
+        SELECT chrom, pos, t, u, h, g, m, l, xm, xh, xu, np, nq, k + 1, greatest(abs(np - p), abs(nq - q)) FROM (SELECT *, (m + t * p / greatest(p + q, 1e-300) + g * p / greatest(1 - q, 1e-300)) / (t + u + h + g + m + l) AS np, (h + t * q / greatest(p + q, 1e-300) + l * q / greatest(1 - p, 1e-300)) / (t + u + h + g + m + l) AS nq FROM e WHERE k < 500 AND moved >= 1e-10)),
+    f AS (SELECT chrom, pos, any_value(t + u) AS nu, any_value(h + g) AS nh, any_value(m + l) AS nm, any_value(xm) AS xm, any_value(xh) AS xh, any_value(xu) AS xu, abs(any_value(xm + xh + xu) - 1) < 1e-12 AS exact, arg_max(p, k) AS p, arg_max(q, k) AS q FROM e GROUP BY 1, 2),
+    o AS (SELECT chrom, pos, nu, nh, nm, xm, xh, xu, exact, CASE WHEN exact THEN xm ELSE p END AS p, CASE WHEN exact THEN xh ELSE q END AS q FROM f),
+    z AS (SELECT *, CASE WHEN 1 - p - q <= 1e-8 THEN 0 WHEN 1 - p - q >= 1 - 1e-8 THEN 1 ELSE 1 - p - q END AS r FROM o),
+    c AS (SELECT *, """ + ", ".join(f"CASE WHEN NOT exact AND ({v} < ({x} + 3.841458820694124 / (2 * {n}) - 1.959963984540054 * sqrt({x} * (1 - {x}) / {n} + 3.841458820694124 / (4 * {n} * {n}))) / (1 + 3.841458820694124 / {n}) - 1e-12 OR {v} > ({x} + 3.841458820694124 / (2 * {n}) + 1.959963984540054 * sqrt({x} * (1 - {x}) / {n} + 3.841458820694124 / (4 * {n} * {n}))) / (1 + 3.841458820694124 / {n}) + 1e-12) THEN 1 ELSE 0 END AS c{n}" for v, x, n in (("p", "xm", "nm"), ("q", "xh", "nh"), ("r", "xu", "nu"))) + """ FROM z)
+    SELECT chrom, pos, """ + ", ".join(f"round(CASE WHEN {v} <= 1e-8 THEN 0 WHEN {v} >= 1 - 1e-8 THEN 1 ELSE {v} END, 6) AS p_{n}" for v, n in (("p", "m"), ("q", "h"), ("r", "u"))) + """, CAST(cnm + cnh + cnu AS INTEGER) AS conflicts FROM c"""
+
+
+@query(V(MLML, "sites"))
 def mlml(spark, d):
     return M.hydroxy(assays(spark, d))
 

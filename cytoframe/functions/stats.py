@@ -117,6 +117,20 @@ def chi2_sf(x: float, df: int) -> float:
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 
+def chi2_tails(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tails of chi-square for whole degrees of freedom: a finite sum of Poisson terms, or of their like at halves with the normal tail."""
+    half, df = np.maximum(np.asarray(x, float), 0) / 2, np.asarray(df, np.int64)
+    odd = df % 2 == 1
+    with np.errstate(divide="ignore", under="ignore", invalid="ignore"):
+        log = np.log(half)
+        out = np.where(odd, erfc(np.sqrt(half)), 0.0)
+        for k in range(int(df.max(initial=0) + 1) // 2):
+            at = k + np.where(odd, 0.5, 0.0)
+            term = np.exp(np.where(at > 0, at * np.where(half > 0, log, -np.inf), 0.0) - half - lgamma_wide(at + 1))
+            out += np.where(k < df // 2, term, 0)
+    return np.clip(out, 0.0, 1.0)
+
+
 def erfc(x) -> np.ndarray:
     """The series of erf up to 2.5, whose terms are all positive, and beyond it the continued fraction of its complement."""
     x = np.asarray(x, float)

@@ -152,17 +152,18 @@ def hydroxy(rows: DataFrame, cap: int = 500, alpha: float = 0.05, tolerance: flo
             over = np.maximum(1, (pm + ph) / 0.99)
             pm, ph = pm / over, ph / over
             total = t + u + h + g + m + low
+            of = lambda a, b: a / np.maximum(a + b, 1e-300)
+            live = np.arange(len(pm))  # a row rests once it has converged, whatever its neighbours do
             for _ in range(rounds):
-                pu = 1 - pm - ph
-                of = lambda a, b: a / np.maximum(a + b, 1e-300)
-                # expected methylated and hydroxymethylated among the reads that each assay leaves open
-                em = m + t * of(pm, ph) + g * of(pm, pu)
-                eh = h + t * of(ph, pm) + low * of(ph, pu)
-                new_m, new_h = em / np.maximum(total, 1), eh / np.maximum(total, 1)
-                moved = max(np.abs(new_m - pm).max(initial=0), np.abs(new_h - ph).max(initial=0))
-                pm, ph = new_m, new_h
-                if moved < tolerance:
+                if not len(live):
                     break
+                x, y = pm[live], ph[live]
+                z0 = 1 - x - y
+                # expected methylated and hydroxymethylated among the reads that each assay leaves open
+                em = m[live] + t[live] * of(x, y) + g[live] * of(x, z0)
+                eh = h[live] + t[live] * of(y, x) + low[live] * of(y, z0)
+                pm[live], ph[live] = em / np.maximum(total[live], 1), eh / np.maximum(total[live], 1)
+                live = live[np.maximum(np.abs(pm[live] - x), np.abs(ph[live] - y)) >= tolerance]
             exact = np.abs(hat_m + hat_h + hat_u - 1) < 1e-12
             pm, ph = np.where(exact, hat_m, pm), np.where(exact, hat_h, ph)
             snap = lambda p: np.where(p <= 1e-8, 0.0, np.where(p >= 1 - 1e-8, 1.0, p))
@@ -172,7 +173,7 @@ def hydroxy(rows: DataFrame, cap: int = 500, alpha: float = 0.05, tolerance: flo
                 n1 = np.maximum(n, 1)
                 centre, half = hat + z * z / (2 * n1), z * np.sqrt(hat * (1 - hat) / n1 + z * z / (4 * n1 * n1))
                 lo, hi = (centre - half) / (1 + z * z / n1), (centre + half) / (1 + z * z / n1)
-                return (n > 0) & ((p < lo) | (p > hi)) & ~exact
+                return (n > 0) & ((p < lo - 1e-12) | (p > hi + 1e-12)) & ~exact
 
             bad = conflict(hat_m, m + low, pm).astype(int) + conflict(hat_h, h + g, ph) + conflict(hat_u, t + u, pu)
             none = lambda p: np.where(enough, snap(p), np.nan)
@@ -194,67 +195,99 @@ def allelic(epireads: DataFrame) -> DataFrame:
 
 def states_matrix(seqs: Sequence[str], offsets: Sequence[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether each read has C, and whether it has T, at each site of a window."""
-    c, t = np.zeros((len(seqs), width)), np.zeros((len(seqs), width))
-    for i, (s, o) in enumerate(zip(seqs, offsets, strict=True)):
-        for j, x in enumerate(s):
-            if 0 <= o + j < width:
-                c[i, o + j], t[i, o + j] = x == "C", x == "T"
-    return c, t
-
-
-def two_alleles(c: np.ndarray, t: np.ndarray, rounds: int = 10, low: float = 0.25, high: float = 0.75, pseudo: float = 1e-10) -> tuple[float, float]:
-    """Log-likelihoods of reads under one methylation profile, and under an even mixture of two fitted by expectation-maximisation."""
-    profile = lambda w, add: ((w @ c) + add) / ((w @ (c + t)) + 2 * add)
+    size = np.array([len(s) for s in seqs], np.int64)
+    row = np.repeat(np.arange(len(seqs)), size)
+    column = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(np.asarray(offsets, np.int64), size)
+    letter = np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)
+    inside = (column >= 0) & (column < width)
+    out = []
+    for x in b"CT":
+        m = np.zeros((len(seqs), width))
+        hit = inside & (letter == x)
+        m[row[hit], column[hit]] = 1
+        out.append(m)
+    return out[0], out[1]
+
+
+def two_alleles(c: np.ndarray, t: np.ndarray, copies: np.ndarray, first: np.ndarray, rounds: int = 10, low: float = 0.25, high: float = 0.75, pseudo: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window: log-likelihoods of its reads under one methylation profile, and under an even mixture of two fitted by expectation-maximisation.
+
+    Rows are kinds of reads with their numbers of copies; a window's rows begin at its place in ``first``. All windows step together; one that has converged rests.
+    """
+    win = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+    total = lambda x: np.add.reduceat(x, first, axis=0)
+    profile = lambda w, add: (total((w * copies)[:, None] * c) + add) / (total((w * copies)[:, None] * (c + t)) + 2 * add)
     clip = lambda a: np.clip(a, 1e-12, 1 - 1e-12)
-    like = lambda a: c @ np.log(clip(a)) + t @ np.log(1 - clip(a))
-    n, k = c.shape
-    single = float(like(profile(np.ones(n), pseudo)).sum())
-    a, b = np.full(k, low), np.full(k, high)
-    before = -np.inf
+    like = lambda a: (c * np.log(clip(a))[win] + t * np.log(1 - clip(a))[win]).sum(1)
+    n = total(copies)
+    single = total(copies * like(profile(np.ones(len(c)), pseudo)))
+    a, b = np.full((len(first), c.shape[1]), low), np.full((len(first), c.shape[1]), high)
+    before, live = np.full(len(first), -np.inf), np.ones(len(first), bool)
     for _ in range(rounds):
-        la, lb = like(a), like(b)
-        both = np.logaddexp(la, lb)
+        la = like(a)
+        both = np.logaddexp(la, like(b))
         w = np.exp(la - both)
-        score = float(both.sum() + n * np.log(0.5))
+        score = total(copies * both) + n * np.log(0.5)
         # the two profiles hold equal shares of the reads
-        share = w.mean()
-        w = w * (0.5 / share) if share > 0.5 else 1 - (1 - w) * (0.5 / (1 - share))
-        if score - before <= 1e-10 * abs(score):
+        share = np.clip(total(copies * w) / n, 1e-300, 1 - 1e-16)[win]
+        w = np.where(share > 0.5, w * (0.5 / share), 1 - (1 - w) * (0.5 / (1 - share)))
+        live &= score - before > 1e-10 * np.abs(score)
+        if not live.any():
             break
         before = score
-        a, b = profile(w, 0.5 * pseudo), profile(1 - w, 0.5 * pseudo)
-    pair = float((np.logaddexp(like(a), like(b)) + np.log(0.5)).sum())
+        a, b = np.where(live[:, None], profile(w, 0.5 * pseudo), a), np.where(live[:, None], profile(1 - w, 0.5 * pseudo), b)
+    pair = total(copies * (np.logaddexp(like(a), like(b)) + np.log(0.5)))
     return single, pair
 
 
-def allele_test(seqs: Sequence[str], offsets: Sequence[int], width: int, bic: bool = False, correct: bool = False, rounds: int = 10) -> float:
-    """P-value of the likelihood-ratio test of two profiles against one, or the difference of their information criteria."""
+def allele_tests(seqs: Sequence[str], offsets: Sequence[int], copies: Sequence[int], first: Sequence[int], width: int, bic: bool = False, correct: bool = False, rounds: int = 10) -> np.ndarray:
+    """Of each window: p-value of the likelihood-ratio test of two profiles against one, or the difference of their information criteria."""
+    first, copies = np.asarray(first), np.asarray(copies, float)
     c, t = states_matrix(seqs, offsets, width)
-    used = np.flatnonzero((c + t).sum(0) > 0)
-    single, pair = two_alleles(c, t, rounds)
+    seen = np.add.reduceat(c + t, first, axis=0) > 0
+    single, pair = two_alleles(c, t, copies, first, rounds)
+    n = np.add.reduceat(copies, first)
     if correct:
-        pair += len(seqs) * np.log(0.5)
-    k = int(used.max()) + 1 - int(used.min()) if len(used) else 0
+        pair = pair + n * np.log(0.5)
+    k = np.where(seen.any(1), width - seen[:, ::-1].argmax(1) - seen.argmax(1), 0)
     if bic:
-        return k * np.log(max(len(seqs), 1)) - 2 * (pair - single)
-    return stats.chi2_sf(2 * (pair - single), max(k, 1))
+        return k * np.log(np.maximum(n, 1)) - 2 * (pair - single)
+    return stats.chi2_tails(2 * (pair - single), np.maximum(k, 1))
+
+
+def allele_test(seqs: Sequence[str], offsets: Sequence[int], width: int, **options) -> float:
+    """The test of one window."""
+    return float(allele_tests(seqs, offsets, np.ones(len(seqs)), [0], width, **options)[0])
+
+
+#: Windows that one call of the kernel tests, about.
+WINDOWS = 64
 
 
 def window_tests(epireads: DataFrame, width: int = 10, least: int = 40, **options) -> DataFrame:
-    """The test in every window of ``width`` sites with at least ``least`` states: (chrom, w, reads, score). A read is copied to the windows it overlaps."""
+    """The test in every window of ``width`` sites with at least ``least`` states: (chrom, w, reads, score). A read is copied to the windows it overlaps.
+
+    Reads that show a window the same are counted before anything is shuffled by window, so a group is bounded by kinds of reads, not by depth; neighbouring windows are tested together.
+    """
     starts = F.sequence(F.greatest(F.col("pos") - width + 1, F.lit(0)), F.col("pos") + F.length("seq") - 1)
     rows = epireads.where("length(seq) > 0").select("chrom", "pos", "seq", F.explode(starts).alias("w"))
     cut = F.greatest(F.col("w") - F.col("pos"), F.lit(0))
     end = F.least(F.col("pos") + F.length("seq"), F.col("w") + width)
     rows = rows.select("chrom", "w", (F.greatest("pos", "w") - F.col("w")).alias("o"), F.substr("seq", (cut + 1).cast("int"), (end - F.greatest("pos", "w")).cast("int")).alias("s"))
+    kinds = rows.groupBy("chrom", "w", "o", "s").agg(F.count(F.lit(1)).alias("k")).withColumn("part", F.floor(F.col("w") / WINDOWS))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["o", "s"])
-        if g["s"].str.len().sum() < least:
+        g = group.sort_values(["w", "o", "s"])
+        states = (g["s"].str.len() * g["k"]).groupby(g["w"]).transform("sum")
+        g = g[states >= least]
+        if not len(g):
             return pd.DataFrame({"chrom": pd.Series([], dtype=object), "w": pd.Series([], dtype="int64"), "reads": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})
-        return pd.DataFrame({"chrom": [g["chrom"].iloc[0]], "w": [g["w"].iloc[0]], "reads": [len(g)], "score": [allele_test(g["s"].tolist(), g["o"].tolist(), width, **options)]})
+        w = g["w"].to_numpy()
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        score = allele_tests(g["s"].tolist(), g["o"].to_numpy(), g["k"].to_numpy(), first, width, **options)
+        return pd.DataFrame({"chrom": g["chrom"].iloc[0], "w": w[first], "reads": np.add.reduceat(g["k"].to_numpy(), first), "score": score})
 
-    return rows.groupBy("chrom", "w").applyInPandas(run, "chrom string, w long, reads long, score double")
+    return kinds.groupBy("chrom", "part").applyInPandas(run, "chrom string, w long, reads long, score double")
 
 
 def allele_regions(epireads: DataFrame, width: int = 10, gap: int = 1, cutoff: float = 0.01, states: int = 4, use_fdr: bool = True, **options) -> DataFrame:
@@ -277,11 +310,13 @@ def region_tests(intervals: DataFrame, epireads: DataFrame, **options) -> DataFr
     pairs = ranges.overlaps(intervals.select("chrom", "start", "stop").distinct(), reads.select("chrom", "start", "stop").distinct())
     joined = pairs.join(reads.select("chrom", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"), "seq"), ["chrom", "b_start", "b_stop"])
 
+    kinds = joined.groupBy("chrom", "a_start", "a_stop", "b_start", "seq").agg(F.count(F.lit(1)).alias("k"))
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["b_start", "seq"])
         start, stop = int(g["a_start"].iloc[0]), int(g["a_stop"].iloc[0])
-        score = allele_test(g["seq"].tolist(), (g["b_start"] - start).tolist(), stop - start, **options)
-        return pd.DataFrame({"chrom": [g["chrom"].iloc[0]], "start": [start], "stop": [stop], "reads": [len(g)], "score": [score]})
+        score = allele_tests(g["seq"].tolist(), (g["b_start"] - start).to_numpy(), g["k"].to_numpy(), [0], stop - start, **options)
+        return pd.DataFrame({"chrom": [g["chrom"].iloc[0]], "start": [start], "stop": [stop], "reads": [int(g["k"].sum())], "score": score})
 
-    done = joined.groupBy("chrom", "a_start", "a_stop").applyInPandas(run, "chrom string, start long, stop long, reads long, score double")
+    done = kinds.groupBy("chrom", "a_start", "a_stop").applyInPandas(run, "chrom string, start long, stop long, reads long, score double")
     return intervals.join(done, ["chrom", "start", "stop"], "left").na.fill({"reads": 0, "score": 1.0})

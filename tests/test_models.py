@@ -43,6 +43,49 @@ def test_normal_tails_and_quantiles():
     assert np.allclose(stats.normal_quantile(p), [NormalDist().inv_cdf(v) for v in p], atol=1e-9)
 
 
+def test_chi2_tails_agree():
+    x = np.array([0, 0.01, 0.5, 3, 9, 40, 200.0])
+    for k in range(1, 25):
+        assert np.allclose(stats.chi2_tails(x, np.full(len(x), k)), [stats.chi2_sf(v, k) for v in x], rtol=1e-7, atol=1e-13)
+
+
+def plain_alleles(reads, width, rounds=10):
+    """One window, read by read."""
+    c = np.array([[i - o >= 0 and i - o < len(s) and s[i - o] == "C" for i in range(width)] for s, o in reads], float)
+    t = np.array([[i - o >= 0 and i - o < len(s) and s[i - o] == "T" for i in range(width)] for s, o in reads], float)
+    clip = lambda a: np.clip(a, 1e-12, 1 - 1e-12)
+    like = lambda a: c @ np.log(clip(a)) + t @ np.log(1 - clip(a))
+    one = ((c.sum(0) + 1e-10) / ((c + t).sum(0) + 2e-10))
+    a, b, before = np.full(width, 0.25), np.full(width, 0.75), -np.inf
+    for _ in range(rounds):
+        la, lb = like(a), like(b)
+        both = np.logaddexp(la, lb)
+        w = np.exp(la - both)
+        score = both.sum() + len(c) * np.log(0.5)
+        w = w * (0.5 / w.mean()) if w.mean() > 0.5 else 1 - (1 - w) * (0.5 / (1 - w.mean()))
+        if score - before <= 1e-10 * abs(score):
+            break
+        before = score
+        a, b = ((w @ c + 5e-11) / (w @ (c + t) + 1e-10)), (((1 - w) @ c + 5e-11) / ((1 - w) @ (c + t) + 1e-10))
+    used = np.flatnonzero((c + t).sum(0))
+    return stats.chi2_sf(2 * float((np.logaddexp(like(a), like(b)) + np.log(0.5)).sum() - like(one).sum()), int(used.max() - used.min()) + 1)
+
+
+def test_windows_together_as_one_by_one(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(400):
+        pos = r.randint(0, 90)
+        allele = r.random() < 0.5
+        rows.append(("c", pos, "".join("N" if r.random() < 0.1 else ("C" if (r.random() < (0.9 if allele else 0.1)) == (pos > 20) or (pos <= 20 and r.random() < 0.5) else "T") for _ in range(r.randint(1, 12)))))
+    got = {x.w: x for x in M.window_tests(spark.createDataFrame(rows, "chrom string, pos long, seq string"), 10, 40).collect()}
+    assert len(got) > 60
+    for w, x in got.items():
+        own = [(s[max(0, w - p) : max(0, w + 10 - p)], max(p - w, 0)) for _, p, s in rows if p < w + 10 and p + len(s) > w]
+        assert x.reads == len(own) and sum(len(s) for s, _ in own) >= 40
+        assert math.isclose(x.score, plain_alleles(own, 10), rel_tol=1e-5, abs_tol=1e-9), w
+
+
 def test_sums_of_hypergeometric_terms(monkeypatch):
     def brute(p, q, r, s):
         term = lambda k: math.comb(r + s - 1, k) * math.comb(p + q - 1, p + r - 1 - k) / math.comb(p + q + r + s - 2, p + r - 1)
