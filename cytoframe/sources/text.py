@@ -6,9 +6,6 @@ evaluated, unless ``relaxed``, which drops fields beyond the format's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,20 +153,33 @@ def parse_sam(df: DataFrame) -> DataFrame:
     return rows.select(c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("chrom"), (c[3].cast("long") - 1).alias("pos"), F.when(c[1].cast("int").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+").alias("strand"), c[5].alias("cigar"), c[9].alias("seq"), tag.alias("tags"))
 
 
+def sam_header(references: list[tuple[str, int]], program: str = "cytoframe", command: str = "") -> str:
+    """Header lines: format, chromosomes, and the program with its command."""
+    lines = ["@HD\tVN:1.6", *(f"@SQ\tSN:{n}\tLN:{s}" for n, s in references), f"@PG\tID:{program}\tPN:{program}" + (f"\tCL:{command}" if command else "")]
+    return "\n".join(lines) + "\n"
+
+
 def format_sam(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat_ws("\t", "qname", F.when(F.col("strand") == "-", "16").otherwise("0"), "chrom", (F.col("pos") + 1).cast("string"), F.lit("255"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*")).alias("value"))
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Mapped reads of BAM files, one task a file: blocks are inflated and records decoded in Python."""
-    from cytoframe.sources.bam import decode
+def read_bam(spark: SparkSession, path: str, tags: bool = False, split: int | None = None) -> DataFrame:
+    """Mapped reads of a BAM file, or of those in a folder, in splits by byte range; minus reads in reading direction. With ``tags``, a map of them as text."""
+    from cytoframe.sources.bam import Bam
+
+    spark.dataSource.register(Bam)
+    reader = spark.read.format("bam")
+    rows = (reader.option("split", split) if split else reader).load(path)
+    return rows if tags else rows.drop("tags")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                yield from decode(content)
+def write_bam(reads: DataFrame, path: str, references: list[tuple[str, int]], program: str = "cytoframe") -> None:
+    """Reads (qname, chrom, pos, strand, cigar, seq in reading direction) as BAM files in a folder, one for each partition, with a line of the program in the header."""
+    from cytoframe.sources.bam import Bam
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "qname string, flag int, chrom string, pos long, strand string, cigar string, seq string")
+    reads.sparkSession.dataSource.register(Bam)
+    rows = reads.select("qname", "chrom", F.col("pos").cast("long").alias("pos"), "strand", "cigar", "seq")
+    rows.write.format("bam").mode("append").option("references", ",".join(f"{n}:{s}" for n, s in references)).option("program", program).save(path)
 
 
 def parse_epireads(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text and binary formats through files."""
 
 import gzip
+import random
 import os
 
 import pytest
@@ -76,3 +77,50 @@ def test_sorted_write(spark, tmp_path):
     T.write_sorted(df, str(tmp_path / "o"), ["chrom", "pos"])
     names = sorted(f for f in os.listdir(tmp_path / "o") if f.startswith("part"))
     assert "".join((tmp_path / "o" / f).read_text() for f in names).split() == ["a1", "a2", "b1"]
+
+
+@pytest.mark.parametrize("split", [700, 5000, 10_000_000])
+def test_bam_in_splits(spark, tmp_path, split):
+    r = random.Random(3)
+    rows = []
+    for i in range(4000):
+        n = r.randint(1, 60) if i % 500 else 40_000  # some reads are longer than a block
+        rows.append((f"read{i}", r.choice(["c1", "c2"]), r.randint(0, 900), r.choice("+-"), f"{n}M", "".join(r.choice("ACGT") for _ in range(n))))
+    df = spark.createDataFrame(rows, "qname string, chrom string, pos long, strand string, cigar string, seq string").repartition(3)
+    T.write_bam(df, str(tmp_path / "out"), [("c1", 50_000), ("c2", 50_000)])
+    back = T.read_bam(spark, str(tmp_path / "out"), split=split)
+    assert back.rdd.getNumPartitions() > 3 or split > 1_000_000
+    got = sorted(tuple(x) for x in back.select("qname", "chrom", "pos", "strand", "cigar", "seq").collect())
+    assert got == sorted(rows)
+
+
+def test_bam_tags_and_header(spark, tmp_path):
+    plain = bam.packed("r", 0, 0, 7, [(3, "M")], "ACG")
+    tags = b"NMC\x02" + b"ZSZ++\0" + b"XAAq" + b"MLBC" + (3).to_bytes(4, "little") + bytes([1, 2, 250])
+    size = int.from_bytes(plain[:4], "little") + len(tags)
+    with open(tmp_path / "x.bam", "wb") as f:
+        out = bam.BlockedFile(f)
+        out.add(bam.head([("c", 10)], T.sam_header([("c", 10)], "p", "p x")))
+        out.add(size.to_bytes(4, "little") + plain[4:] + tags)
+        out.close()
+    got = T.read_bam(spark, str(tmp_path / "x.bam"), tags=True).collect()
+    assert [(x.qname, x.pos, x.tags) for x in got] == [("r", 7, {"NM": "2", "ZS": "++", "XA": "q", "ML": "1,2,250"})]
+    assert T.sam_header([("c", 10)], "p", "p x").splitlines()[-1] == "@PG\tID:p\tPN:p\tCL:p x"
+
+
+def test_stored_tables_are_looked_up(spark, tmp_path):
+    sites = spark.createDataFrame([(c, i * 3, i) for c in "ab" for i in range(2000)], "chrom string, pos long, n long")
+    T.store_sites(sites, str(tmp_path / "s"))
+    found = T.lookup_sites(spark.read.parquet(str(tmp_path / "s")), "b", 30, 42)
+    assert sorted(x.n for x in found.collect()) == [10, 11, 12, 13]
+    assert "PushedFilters: [IsNotNull(chrom), IsNotNull(pos), EqualTo(chrom,b), GreaterThanOrEqual(pos,30), LessThan(pos,42)]" in found._jdf.queryExecution().executedPlan().toString()
+    reads = spark.createDataFrame([("a", i, "CT" * (i % 4 + 1)) for i in range(100)], "chrom string, pos long, seq string")
+    T.store_reads(reads, str(tmp_path / "r"))
+    got = sorted(x.pos for x in T.lookup_reads(spark.read.parquet(str(tmp_path / "r")), "a", 50, 52).collect())
+    assert got == [i for i in range(100) if i < 52 and i + 2 * (i % 4 + 1) > 50]
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(3, None, 0.5)], "total long, none string, mean double")
+    assert [x.value for x in T.format_summary(df).orderBy("at").collect()] == ["total: 3", "none: NA", "mean: 0.5"]
+    assert T.format_json(df).first().value == '{"total":3,"none":null,"mean":0.5}'
