@@ -45,6 +45,17 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, plan: tuple[int,
     return out if how == "left_semi" else out.drop("_chrom", "_level", "_bin")
 
 
+def narrowed(points: DataFrame, intervals: DataFrame, most: int = 64) -> DataFrame:
+    """Points with a filter that reaches their scan, where there are ``most`` intervals at most; else all points. No point inside an interval is lost."""
+    few = intervals.select("chrom", "start", "stop").limit(most + 1).collect()
+    if len(few) > most:
+        return points
+    near = F.lit(False)
+    for r in few:
+        near = near | ((F.col("chrom") == r["chrom"]) & (F.col("pos") >= r["start"]) & (F.col("pos") < r["stop"]))
+    return points.where(near)
+
+
 def merge_touching(intervals: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",), aggs: tuple[Column, ...] = ()) -> DataFrame:
     """Union of intervals that overlap, touch or lie within ``gap``: islands by the running maximum of stops."""
     line = Window.partitionBy(*keys).orderBy("start", "stop")

@@ -84,3 +84,18 @@ def test_deserts_and_islands(spark):
     cut = P.deserts(df, ("chrom",), 10)
     assert [r.segment for r in cut.orderBy("pos").collect()] == [0, 0, 0, 0, 1]
     assert [r.island for r in P.islands(cut, ("chrom", "segment"), ("pos",), "state").orderBy("pos").collect()] == [1, 1, 2, 3, 1]
+
+
+def test_few_intervals_narrow_the_scan(spark, tmp_path):
+    from cytoframe.operators import levels as L
+
+    sites = spark.range(5000).selectExpr("concat('c', id % 3) as chrom", "id as pos", "'+' as strand", "'CpG' as context", "id % 7 as n_reads", "id % 3 as n_meth").where("n_meth <= n_reads")
+    sites.write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    few = spark.createDataFrame([("c1", 100, 200, "a"), ("c2", 4000, 4100, "b"), ("c9", 1, 5, "none"), ("c1", 50, 50, "empty")], "chrom string, start long, stop long, name string")
+    got = {r.name: r.total_sites for r in L.by_interval(few, stored).collect()}
+    want = {r["name"]: sites.where(f"chrom = '{r['chrom']}' and pos >= {r['start']} and pos < {r['stop']}").count() for r in few.collect()}
+    assert got == want and want["a"] > 20
+    assert "GreaterThanOrEqual(pos,100)" in P.narrowed(stored, few)._jdf.queryExecution().executedPlan().toString()
+    assert P.narrowed(stored, few, 3) is stored
+    assert P.narrowed(stored, few.limit(0)).count() == 0
