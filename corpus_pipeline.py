@@ -1,7 +1,12 @@
 """A pipeline from raw documents to token ids: classify, judge, drop near copies, mix, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes and reads back. The first four return the columns
-of their input; rows they drop are gone for the next.
+of their input, whatever their names and however many; rows they drop are gone for the next. Columns that are used: doc_id, text and source of documents, doc_id and quality of labels.
+
+Defined cases: a null or blank text is judged by the classifier like others (its features are 0), and fails the base rules, so it goes with the second stage at the latest;
+in the mix a document without words is never taken. A null doc_id is an ordinary value, last in order: of near copies the one with the smallest id stays. Rows that repeat are judged alike; of rows that repeat
+an id and its words one stays in the third stage; what the mix takes of rows that repeat an id, source and size is shared among them. A null source is a source of its own. Texts of any length pass whole. Without labels of
+both kinds the classifier gives all documents one score. Empty tables give empty tables, with the same columns.
 """
 
 from __future__ import annotations
