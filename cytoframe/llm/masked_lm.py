@@ -1,28 +1,29 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-A token is one of the corpus's most frequent words, or one of 64 shapes (length, alphabet, end and symbols) for
+A token is one of the corpus's 4032 most frequent words, if it is met LEAST times, or one of 64 shapes (length, alphabet, end and symbols) for
 all other words. The network predicts each token from the two tokens on either side: a table for each place in the window
-adds to a hidden layer, tanh, and two softmaxes give the token's group and its place in the group. A word that has
+adds to a hidden layer, tanh, and two softmaxes give the token's group and its place in the group. Tokens are dealt to groups by frequency, so that groups
+are met alike. A word that has
 only its shape as token has the probability of the shape times the word's share among the words of that shape, from the counts of
 all words of the corpus. The score of a document is the sum over all its words of the log-probability of the word given both sides.
 
 The corpus is read three times. Words of all documents are counted, which shuffles one row for each distinct word of a task;
-the network's tokens are the bounded top of that, and the whole table, which grows with the corpus, gives the shares. Then each task trains the network on every token of its documents, from one
-common start, and the tasks' parameters are averaged, weighted by tokens: parameters are summed as fixed-point integers by a
-group-by, so the result doesn't depend on the order of tasks, and the driver gets one row for each parameter. It does depend on how
-the input is split into tasks. The last pass scores; it deals words without a token of their own to buckets by hash, each of which
+the network's tokens are the bounded top of that, and the whole table, which grows with the corpus, gives the shares. Documents are dealt by hash to shards of about
+SHARD words, whose number grows with the corpus; in each the network is trained on every token, from one
+common start and in order of the hash, and the parameters of all shards are averaged, weighted by tokens. They are summed as fixed-point integers, FAN shards at a time, so the result depends neither on
+how the input is split nor on the order of tasks, and the driver gets one network. The last pass scores; it deals words without a token of their own to buckets by hash, each of which
 meets its part of the table of counts, and what a bucket adds to a document comes back in fixed point. The number of buckets grows with
 those words, so a bucket stays as large at any input size. A word that the table lacks (with a model of another corpus) counts as met once.
 
 Defined cases: null, empty and blank texts have no tokens, a sum of 0 and no mean; a null doc_id passes through;
 rows that repeat are scored alike; an empty table gives an empty result; texts of any length are read whole. Other
-columns are ignored.
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from cytoframe.llm import wordscan
-from cytoframe.llm.common import settle
+from cytoframe.llm.common import settle, spare, sparing
 
-GROUPS, SHAPES, HIDDEN, SIDE = 32, 64, 16, 2
+GROUPS, SHAPES, HIDDEN, SIDE = 64, 64, 16, 2
 TOKENS = GROUPS * GROUPS
 PAD = TOKENS
 FIXED = 1 << 16
+#: How often a word with a token of its own is met at least.
+LEAST = 20
+#: Words of a shard, about; shards whose parameters are summed at a time; parameters of a row.
+SHARD, FAN, PART = 3_000_000, 64, 8192
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 1 << 20
 #: Words of a bucket, about; fixed point of log counts; a word as a bucket gets it, and what it gives back for a text of a run.
 BUCKET, FINE = 2_000_000, 1 << 32
 WORD, ADDED = np.dtype([("h", "<u8"), ("at", "<u4")]), np.dtype([("at", "<u4"), ("v", "<i8")])
 #: Tokens of a training step, and of a scoring step; learning rate at the start.
-STEP, SCORED, RATE = 4096, 16384, 1.0
+STEP, SCORED, RATE = 8192, 32768, 2.5
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"0123456789#*$%&|<>@_/=+")] = 1
 _LAST = np.zeros(256, bool)
@@ -63,14 +70,15 @@ def shapes(w: wordscan.Words) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Hashes of words in ascending order, with their tokens; and counts of all tokens."""
+    """Hashes of words in ascending order, with their tokens; counts of all tokens; and the tokens of shapes."""
 
     hashes: np.ndarray
     token: np.ndarray
     counts: np.ndarray
+    of_shape: np.ndarray = field(default_factory=lambda: np.arange(TOKENS - SHAPES, TOKENS))
 
     def tokens(self, w: wordscan.Words) -> np.ndarray:
-        out = TOKENS - SHAPES + shapes(w)
+        out = self.of_shape[shapes(w)]
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, w.hashes), len(self.hashes) - 1)
             out = np.where(self.hashes[at] == w.hashes, self.token[at], out)
@@ -80,25 +88,52 @@ class Vocabulary:
 def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """Counts the words of all documents; also gives the table of all counts (h, n, shape)."""
 
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        h, n, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h)
+        first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        return h[order][first], np.add.reduceat(n[order], first), shape[order][first]
+
+    def row(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, n, shape = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(shape)], names=["h", "n", "shape"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, known = [], 0, 0
         for batch in batches:
             for _, w in wordscan.runs(batch.column(0), lower=True):
+                if not len(w.hashes):
+                    continue
                 h, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(shapes(w)[first])], names=["h", "n", "shape"])
-
-    counts = docs.select("text").mapInArrow(run, "h long, n long, shape long").groupBy("h").agg(F.sum("n").alias("n"), F.min("shape").alias("shape"))
+                parts.append((h, n, shapes(w)[first]))
+                size += len(h)
+                if size > 2 * known + (1 << 18):
+                    parts = [merged(parts)]
+                    size = known = len(parts[0][0])
+                    if known > COUNTED:
+                        yield row(parts)
+                        parts, size, known = [], 0, 0
+        if parts:
+            yield row(parts)
+
+    counts = docs.select("text").mapInArrow(sparing(run), "h long, n long, shape long").groupBy("h").agg(F.sum("n").alias("n"), F.min("shape").alias("shape"))
     counts = settle(counts, "lm-words")
-    top = counts.orderBy(F.desc("n"), "h").limit(TOKENS - SHAPES).collect()  # a bounded vocabulary
+    top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(TOKENS - SHAPES).collect()  # a bounded vocabulary
     rare = counts.groupBy("shape").agg(F.sum("n")).collect()  # SHAPES rows
-    total = np.zeros(TOKENS)
+    hashes, met = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.zeros(TOKENS)
+    met[: len(top)] = [r["n"] for r in top]
     for s, n in rare:
-        total[TOKENS - SHAPES + s] = n
-    for i, r in enumerate(top):
-        total[i] = r["n"]
-        total[TOKENS - SHAPES + r["shape"]] -= r["n"]
-    hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+        met[TOKENS - SHAPES + s] = n
+    for r in top:
+        met[TOKENS - SHAPES + r["shape"]] -= r["n"]
+    # the n-th most frequent goes to group n modulo GROUPS
+    rank = np.empty(TOKENS, np.int64)
+    rank[np.argsort(-met, kind="stable")] = np.arange(TOKENS)
+    token = rank % GROUPS * GROUPS + rank // GROUPS
+    total = np.empty(TOKENS)
+    total[token] = met
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int64), total), counts
+    return Vocabulary(hashes[order], token[: len(top)][order], total, token[TOKENS - SHAPES :]), counts
 
 
 class Network:
@@ -138,8 +173,8 @@ class Network:
         return z
 
     def by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # sixteen bits are sorted by counting
+        ends = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS)))
         for g in range(GROUPS):
             if ends[g] < ends[g + 1]:
                 yield g, order[ends[g] : ends[g + 1]]
@@ -178,7 +213,7 @@ class Network:
         self.hidden -= pace * dh.sum(0)
         dh *= -pace * 20  # rows of the tables are met rarely
         for j in range(2 * SIDE):
-            order = np.argsort(context[j], kind="stable")
+            order = np.argsort(context[j].astype(np.uint16), kind="stable")
             key = context[j][order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             self.window[j][key[first]] += np.clip(np.add.reduceat(dh[order], first, axis=0), -0.1, 0.1)
@@ -195,28 +230,47 @@ def windows(w: wordscan.Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return np.stack([padded[at + d] for d in [*range(-SIDE, 0), *range(1, SIDE + 1)]]), token
 
 
-def train(docs: DataFrame, words: Vocabulary) -> Network:
-    """One pass over all tokens of the corpus: each task from the common start, then the weighted mean."""
+def train(docs: DataFrame, words: Vocabulary, keys: tuple[str, ...] = ()) -> Network:
+    """One pass over all tokens of the corpus: each shard from the common start, then the weighted mean. Rows are dealt to shards by ``keys`` and text."""
+    shards = max(1, -(-int(words.counts.sum()) // SHARD))
+    h = F.xxhash64(*keys, "text")
+    rows = docs.where(F.length("text") > 0).select(F.pmod(F.xxhash64(F.lit(3), h), F.lit(shards)).alias("shard"), h.alias("h"), "text")
+    schema = "shard long, part int, v binary, w long"
+    names = ["shard", "part", "v", "w"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(shard: int, values: np.ndarray, weight: int, parts: list[int]) -> pa.Table:
+        return pa.table({"shard": pa.array([shard] * len(parts), pa.int64()), "part": pa.array(parts, pa.int32()), "v": pa.array([x.tobytes() for x in values], pa.binary()), "w": pa.array([weight] * len(parts), pa.int64())})
+
+    def learn(table: pa.Table) -> pa.Table:
         net, seen = Network.start(words.counts), 0
-        for batch in batches:
-            for _, w in wordscan.runs(batch.column(0), lower=True):
-                context, token = windows(w, words)
-                for i in range(0, len(token), STEP):
-                    net.step(context[:, i : i + STEP], token[i : i + STEP], RATE / (1 + seen / 2e6) ** 0.5)
-                    seen += len(token[i : i + STEP])
-        if seen:
-            weight = -(-seen // 1024)
-            fixed = np.rint(np.clip(net.flat, -1000, 1000).astype(float) * FIXED).astype(np.int64) * weight
-            for i in range(0, Network.SIZE, 8192):
-                part = fixed[i : i + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part), pa.array(np.full(len(part), weight))], names=["i", "v", "w"])
-
-    rows = docs.select("text").mapInArrow(run, "i long, v long, w long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).toPandas()
+        for _, w in wordscan.runs(table.sort_by("h").column("text").combine_chunks(), lower=True):
+            context, token = windows(w, words)
+            for i in range(0, len(token), STEP):
+                net.step(context[:, i : i + STEP], token[i : i + STEP], RATE / (1 + seen / 2e6) ** 0.5)
+                seen += len(token[i : i + STEP])
+        weight = -(-seen // 1024)
+        fixed = np.rint(np.clip(net.flat, -1000, 1000).astype(float) * FIXED).astype(np.int64) * weight
+        starts = range(0, Network.SIZE, PART)
+        out = packed(table.column("shard")[0].as_py() // FAN, [fixed[i : i + PART] for i in starts], weight, list(range(len(starts))))
+        spare()
+        return out.select(names)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("v"))
+        weight = sum(table.column("w").to_pylist())
+        return packed(table.column("shard")[0].as_py() // FAN, [total], weight, [table.column("part")[0].as_py()]).select(names)
+
+    sums = rows.groupBy("shard").applyInArrow(learn, schema)
+    while True:
+        sums = sums.groupBy("part", "shard").applyInArrow(add, schema)  # FAN rows a group
+        if shards <= FAN:
+            break
+        shards = -(-shards // FAN)
     net = Network.start(words.counts)
-    if len(rows):
-        net.flat[rows["i"].to_numpy()] = rows["v"].to_numpy() / rows["w"].to_numpy() / FIXED
+    for r in sums.collect():  # one network
+        part = np.frombuffer(r["v"], np.int64)
+        if r["w"]:
+            net.flat[r["part"] * PART : r["part"] * PART + len(part)] = part / r["w"] / FIXED
     return net
 
 
@@ -259,16 +313,17 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model:
     """``keep`` and n_tokens, log_likelihood and mean_log_likelihood of each document."""
     if model is None:
         words, counts = vocabulary(docs)
-        model = words, train(docs, words).flat, counts
+        model = words, train(docs, words, keep).flat, counts
     words, flat, counts = model
     kept = docs.select(*keep).schema
     schema = StructType([*kept, *StructType().add("n_tokens", "long").add("log_likelihood", "double").add("mean_log_likelihood", "double")])
     # rows of documents have their place _at in a run of texts; rows with words of a run have -1
     inner = StructType([StructField(f"_k{i}", f.dataType) for i, f in enumerate(kept)]).add("_run", "long").add("_bucket", "long").add("_at", "integer").add("_n", "long").add("_sum", "double").add("_bytes", "binary")
-    in_shape = words.counts[TOKENS - SHAPES :]
+    in_shape = words.counts[words.of_shape]
     buckets = max(1, -(-int(in_shape.sum()) // BUCKET))
-    less = np.zeros(TOKENS)
-    less[TOKENS - SHAPES :] = np.log(np.maximum(in_shape, 1))
+    less, is_shape = np.zeros(TOKENS), np.zeros(TOKENS, bool)
+    less[words.of_shape] = np.log(np.maximum(in_shape, 1))
+    is_shape[words.of_shape] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, number = Network(flat), TaskContext.get().partitionId() << 32
@@ -278,9 +333,9 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model:
                 log_p = np.concatenate([net.log_p(context[:, k : k + SCORED], token[k : k + SCORED]) for k in range(0, len(token), SCORED)] or [np.zeros(0)])
                 upto = np.concatenate([[0.0], np.cumsum(log_p - less[token], dtype=float)])
                 n = len(w.first) - 1
-                shared = np.flatnonzero(token >= TOKENS - SHAPES)
+                shared = np.flatnonzero(is_shape[token])
                 bucket = (w.hashes[shared] >> np.uint64(33)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(bucket, kind="stable") if buckets > 1 << 16 else np.argsort(bucket.astype(np.uint16), kind="stable")
                 met, ends = np.unique(bucket, return_counts=True)
                 rows = np.empty(len(shared), WORD)
                 rows["h"], rows["at"] = w.hashes[shared][order], np.repeat(np.arange(n), np.diff(w.first))[shared][order]
@@ -306,7 +361,7 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model:
         mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), mask=n == 0)
         return pa.Table.from_arrays([*of_doc.columns[: len(keep)], pa.array(n), pa.array(total), mean], names=schema.names)
 
-    scored = docs.select(*keep, "text").mapInArrow(run, inner).groupBy("_bucket")
+    scored = docs.select(*keep, "text").mapInArrow(sparing(run), inner).groupBy("_bucket")
     # words met once add nothing
     table = counts.where("n > 1").select("h", "n", F.expr(f"shiftrightunsigned(h, 33) % {buckets}L").alias("_bucket")).groupBy("_bucket")
     return scored.cogroup(table).applyInArrow(add_shares, inner).groupBy("_run").applyInArrow(whole, schema)
