@@ -33,7 +33,7 @@ def counts_header(spark, d):
 def xcounts_text(spark, d):
     rows = T.format_xcounts(S.to_deltas(one(spark, d)))
     numbered = rows.select(F.struct("chrom", "at").alias("ln"), "value")
-    return T.parse_xcounts(numbered)
+    return T.parse_xcounts(numbered, F.col("ln.chrom"))
 
 
 @query(V("SELECT chrom, start, stop, replace(name, ' ', '_') AS name, CAST(length(name) AS DOUBLE) AS score, strand FROM intervals", "intervals"))

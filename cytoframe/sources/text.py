@@ -98,14 +98,24 @@ def number_lines(df: DataFrame) -> DataFrame:
     return df.withColumn("ln", F.monotonically_increasing_id())
 
 
-def parse_xcounts(numbered: DataFrame) -> DataFrame:
-    """(chrom, pos, n_meth, n_unmeth) from lines with ``ln``. One window over the file, which the format cannot do without: deltas follow the lines."""
-    rows = numbered.where(~F.startswith("value", F.lit("#"))).select("ln", F.split(F.trim("value"), GAP).alias("f"))
-    name = F.when(F.size("f") == 1, F.col("f")[0])
-    at = rows.withColumn("chrom", F.last(name, ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("ln")))
-    body = at.where(F.size("f") == 3)
-    pos = F.sum(F.col("f")[0].cast("long")).over(Window.partitionBy("chrom").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0))
-    return body.select("chrom", pos.alias("pos"), F.col("f")[1].cast("long").alias("n_meth"), F.col("f")[2].cast("long").alias("n_unmeth"))
+def parse_xcounts(numbered: DataFrame, split: Column | None = None) -> DataFrame:
+    """(chrom, pos, n_meth, n_unmeth) from lines with ``ln``.
+
+    Deltas follow the lines. Positions are summed within a split of the file, of which the upper bits of ``ln`` tell, or ``split``, which ascends with it; what the splits before carry over, a chromosome and a position, comes from one row for each split.
+    """
+    rows = numbered.where(~F.startswith("value", F.lit("#"))).select("ln", (F.shiftright("ln", 33) if split is None else split).alias("split"), F.split(F.trim("value"), GAP).alias("f")).where(F.size("f").isin(1, 3) & (F.col("f")[0] != ""))
+    rows = rows.select("ln", "split", "f", F.when(F.size("f") == 1, F.col("f")[0]).alias("name"), F.when(F.size("f") == 3, F.col("f")[0].cast("long")).otherwise(0).alias("delta"))
+    line = Window.partitionBy("split").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.last("name", ignorenulls=True).over(line)).withColumn("run", F.count("name").over(line))
+    rows = rows.withColumn("at", F.sum("delta").over(Window.partitionBy("split", "run").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("split").agg(F.max_by("own", "ln").alias("own"), F.max_by("at", "ln").alias("tail"))
+    every = Window.partitionBy(F.lit(0)).orderBy("split")  # a row for each split
+    ends = ends.withColumn("last", F.last("own", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, 0))).withColumn("since", F.count("own").over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("sum", F.sum("tail").over(Window.partitionBy("since").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = ends.select("split", F.lag("last").over(every).alias("before"), F.lag("sum", 1, 0).over(every).alias("offset"))
+    out = rows.where(F.size("f") == 3).join(carried, "split")
+    first = F.col("run") == 0
+    return out.select(F.when(first, F.col("before")).otherwise(F.col("own")).alias("chrom"), (F.col("at") + F.when(first, F.col("offset")).otherwise(0)).alias("pos"), F.col("f")[1].cast("long").alias("n_meth"), F.col("f")[2].cast("long").alias("n_unmeth"))
 
 
 def parse_bed(df: DataFrame) -> DataFrame:

@@ -124,3 +124,25 @@ def test_summaries(spark):
     df = spark.createDataFrame([(3, None, 0.5)], "total long, none string, mean double")
     assert [x.value for x in T.format_summary(df).orderBy("at").collect()] == ["total: 3", "none: NA", "mean: 0.5"]
     assert T.format_json(df).first().value == '{"total":3,"none":null,"mean":0.5}'
+
+
+def test_compact_counts_over_splits(spark, tmp_path):
+    r = random.Random(5)
+    lines, want, at = ["#xcounts", "#c0 5"], [], 0
+    for c in range(12):
+        lines.append(f"c{c}")
+        at = 0
+        for _ in range(r.choice([0, 1, 5, 400])):
+            d, m, u = r.randint(1, 90), r.randint(0, 9), r.randint(0, 9)
+            at += d
+            lines.append(f"{d}\t{m}\t{u}")
+            want.append((f"c{c}", at, m, u))
+    (tmp_path / "x").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("150b", "700b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = T.parse_xcounts(T.number_lines(T.lines(spark, str(tmp_path / "x"))))
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
