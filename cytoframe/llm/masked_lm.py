@@ -1,6 +1,6 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-A token is one of the corpus's 4032 most frequent words, if it is met LEAST times, or one of 64 shapes (length, alphabet, end and symbols) for
+A token is one of the corpus's 1984 most frequent words, if it is met LEAST times, or one of 64 shapes (length, alphabet, end and symbols) for
 all other words. The network predicts each token from the two tokens on either side: a table for each place in the window
 adds to a hidden layer, tanh, and two softmaxes give the token's group and its place in the group. Tokens are dealt to groups by frequency, so that groups
 are met alike. A word that has
@@ -36,8 +36,8 @@ from pyspark.sql.types import StructField, StructType
 from cytoframe.llm import wordscan
 from cytoframe.llm.common import settle, spare, sparing
 
-GROUPS, SHAPES, HIDDEN, SIDE = 64, 64, 16, 2
-TOKENS = GROUPS * GROUPS
+GROUPS, PLACES, SHAPES, HIDDEN, SIDE = 32, 64, 64, 16, 2
+TOKENS = GROUPS * PLACES
 PAD = TOKENS
 FIXED = 1 << 16
 #: How often a word with a token of its own is met at least.
@@ -50,7 +50,7 @@ COUNTED = 1 << 20
 BUCKET, FINE = 2_000_000, 1 << 32
 WORD, ADDED = np.dtype([("h", "<u8"), ("at", "<u4")]), np.dtype([("at", "<u4"), ("v", "<i8")])
 #: Tokens of a training step, and of a scoring step; learning rate at the start.
-STEP, SCORED, RATE = 8192, 32768, 2.5
+STEP, SCORED, RATE = 8192, 8192, 2.5
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"0123456789#*$%&|<>@_/=+")] = 1
 _LAST = np.zeros(256, bool)
@@ -129,7 +129,7 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     # the n-th most frequent goes to group n modulo GROUPS
     rank = np.empty(TOKENS, np.int64)
     rank[np.argsort(-met, kind="stable")] = np.arange(TOKENS)
-    token = rank % GROUPS * GROUPS + rank // GROUPS
+    token = rank % GROUPS * PLACES + rank // GROUPS
     total = np.empty(TOKENS)
     total[token] = met
     order = np.argsort(hashes)
@@ -139,7 +139,7 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
 class Network:
     """Parameters as one flat array, with views of its parts."""
 
-    SHAPE = {"window": (2 * SIDE, TOKENS + 1, HIDDEN), "hidden": (HIDDEN,), "group": (GROUPS, HIDDEN), "group_bias": (GROUPS,), "place": (GROUPS, GROUPS, HIDDEN), "place_bias": (GROUPS, GROUPS)}
+    SHAPE = {"window": (2 * SIDE, TOKENS + 1, HIDDEN), "hidden": (HIDDEN,), "group": (GROUPS, HIDDEN), "group_bias": (GROUPS,), "place": (GROUPS, PLACES, HIDDEN), "place_bias": (GROUPS, PLACES)}
     SIZE = sum(int(np.prod(s)) for s in SHAPE.values())
 
     def __init__(self, flat: np.ndarray):
@@ -153,7 +153,7 @@ class Network:
     def start(cls, counts: np.ndarray) -> Network:
         """Small random tables, and the corpus's shares as biases."""
         net = cls(np.random.default_rng(3).normal(0, 0.05, cls.SIZE).astype(np.float32))
-        share = ((counts + 0.5) / (counts + 0.5).sum()).reshape(GROUPS, GROUPS)
+        share = ((counts + 0.5) / (counts + 0.5).sum()).reshape(GROUPS, PLACES)
         net.group_bias[:] = np.log(share.sum(1))
         net.place_bias[:] = np.log(share / share.sum(1, keepdims=True))
         return net
@@ -181,7 +181,7 @@ class Network:
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.forward(context)
-        group, place = np.divmod(target, GROUPS)
+        group, place = np.divmod(target, PLACES)
         z = h @ self.group.T + self.group_bias
         rows = np.arange(len(target))
         out = z[rows, group] - np.log(np.exp(z).sum(1))
@@ -192,7 +192,7 @@ class Network:
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         h = self.forward(context)
-        group, place = np.divmod(target, GROUPS)
+        group, place = np.divmod(target, PLACES)
         n = len(target)
         p = self.softmax(h @ self.group.T + self.group_bias)
         p[np.arange(n), group] -= 1
