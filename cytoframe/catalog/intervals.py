@@ -159,3 +159,10 @@ def ordinals_to_bases(spark, d):
     rows = beds(spark, d).select("chrom", F.col("start").alias("first"), F.col("stop").alias("last"))
     at = lambda a, c: index.select("chrom", F.col("i").alias(a), F.col("pos").alias(c))
     return rows.join(at("first", "start"), ["chrom", "first"]).join(at("last", "end"), ["chrom", "last"]).select("chrom", "first", "last", "start", (F.col("end") + 1).alias("stop"))
+
+
+@query(V(", s AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i, pos FROM sites WHERE sample = 'A') SELECT o.chrom, o.start, o.stop, CAST(min(i) AS BIGINT) AS first, CAST(max(i) + 1 AS BIGINT) AS last FROM (SELECT DISTINCT chrom, start, stop FROM intervals) o JOIN s ON s.chrom = o.chrom AND s.pos >= o.start AND s.pos < o.stop GROUP BY 1, 2, 3", "sites", "intervals"))
+def bases_to_ordinals(spark, d):
+    """Intervals in bases turned to ordinals of the sites they hold."""
+    index = one(spark, d).select("chrom", "pos", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1).cast("long").alias("i"))
+    return P.point_in_interval(index, beds(spark, d).distinct()).groupBy("chrom", "start", "stop").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("last"))

@@ -58,26 +58,30 @@ def flip_majority(epireads: DataFrame) -> DataFrame:
 def entropy(epireads: DataFrame, width: int = 4) -> DataFrame:
     """Sum of p log2 p over the states of each window of ``width`` sites, p averaged over its reads; unobserved sites take their share of C.
 
-    The sign is kept as published: 0 or below.
+    The sign is kept as published: 0 or below. Reads that show a window the same are counted before they meet the shares, so no more than ``3 ** width`` rows a window are shuffled.
     """
-    shares = site_shares(epireads)
     last = epireads.groupBy("chrom").agg(F.max(F.col("pos") + F.length("seq")).alias("sites"))
     reads = epireads.join(last, "chrom").where("length(seq) > 0")
-    starts = F.sequence(F.greatest(F.col("pos") - (width - 1), F.lit(0)), F.least(F.col("pos") + F.length("seq") - 1, F.col("sites") - width))
-    rows = reads.where(F.col("sites") >= width).where(F.greatest(F.col("pos") - (width - 1), F.lit(0)) <= F.least(F.col("pos") + F.length("seq") - 1, F.col("sites") - width))
-    rows = rows.select("chrom", "read", "pos", "seq", F.explode(starts).alias("w")).select("chrom", "read", "pos", "seq", "w", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
-    at = (F.col("w") + F.col("j") - F.col("pos") + 1).cast("int")
-    rows = rows.select("chrom", "read", "w", "j", (F.col("w") + F.col("j")).alias("i"), F.when((at >= 1) & (at <= F.length("seq")), F.substr("seq", at, F.lit(1))).otherwise("N").alias("state"))
-    c = F.when(F.col("state") == "C", 1.0).when(F.col("state") == "T", 0.0).otherwise(F.coalesce("share", F.lit(0.0)))
-    per = rows.join(shares, ["chrom", "i"], "left").withColumn("c", c).groupBy("chrom", "read", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("c"))
-    states = per.select("chrom", "w", "c", F.explode(F.sequence(F.lit(0), F.lit(2**width - 1))).alias("state"))
-    bit = lambda j: F.shiftright(F.col("state"), j).bitwiseAND(F.lit(1)) == 1
-    p = F.lit(1.0)
-    for j in range(width):
-        p = p * F.when(bit(j), F.col("c")[j]).otherwise(1 - F.col("c")[j])
-    mean = states.groupBy("chrom", "w", "state").agg(F.avg(p).alias("p"), F.count(F.lit(1)).alias("reads"))
-    out = mean.groupBy("chrom", "w").agg(F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2(F.when(F.col("p") > 0, F.col("p")).otherwise(1.0)))).alias("entropy"), F.max("reads").alias("reads"))
-    return out.select("chrom", (F.col("w") + width // 2).alias("site"), F.round("entropy", 6).alias("entropy"), "reads")
+    lowest, highest = F.greatest(F.col("pos") - (width - 1), F.lit(0)), F.least(F.col("pos") + F.length("seq") - 1, F.col("sites") - width)
+    rows = reads.where((F.col("sites") >= width) & (lowest <= highest)).select("chrom", "pos", "seq", F.explode(F.sequence(lowest, highest)).alias("w"))
+    ahead = F.repeat(F.lit("N"), F.greatest(F.col("pos") - F.col("w"), F.lit(0)).cast("int"))
+    shown = F.rpad(F.concat(ahead, F.substr("seq", (F.greatest(F.col("w") - F.col("pos"), F.lit(0)) + 1).cast("int"), F.lit(width))), F.lit(width), F.lit("N"))
+    kinds = rows.groupBy("chrom", "w", shown.alias("s")).agg(F.count(F.lit(1)).alias("k"))
+    near = site_shares(epireads).select("chrom", "share", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"), "i").select("chrom", (F.col("i") - F.col("j")).alias("w"), "j", "share")
+    near = near.groupBy("chrom", "w").agg(*[F.max(F.when(F.col("j") == j, F.col("share"))).alias(f"share{j}") for j in range(width)])
+    letter = lambda j: F.substr("s", F.lit(j + 1), F.lit(1))
+    c = [F.when(letter(j) == "C", 1.0).when(letter(j) == "T", 0.0).otherwise(F.coalesce(f"share{j}", F.lit(0.0))).alias(f"c{j}") for j in range(width)]
+    rows = kinds.join(near, ["chrom", "w"], "left").select("chrom", "w", "k", *c)
+    sums = []
+    for state in range(2**width):
+        p = F.col("k").cast("double")
+        for j in range(width):
+            p = p * (F.col(f"c{j}") if state >> j & 1 else 1 - F.col(f"c{j}"))
+        sums.append(F.sum(p).alias(f"p{state}"))
+    out = rows.groupBy("chrom", "w").agg(F.sum("k").alias("reads"), *sums)
+    share = [F.col(f"p{state}") / F.col("reads") for state in range(2**width)]
+    total = sum((F.when(p > 0, p * F.log2(F.when(p > 0, p).otherwise(1.0))).otherwise(0.0) for p in share), F.lit(0.0))
+    return out.select("chrom", (F.col("w") + width // 2).alias("site"), F.round(total, 6).alias("entropy"), "reads")
 
 
 def domains(rows: DataFrame, gap: int, state: Column) -> DataFrame:
