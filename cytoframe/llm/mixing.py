@@ -96,13 +96,14 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix-1", blocks: int = BLOCKS) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, source), one for each row of ``docs``."""
     rows = settle(sized(docs, seed), "mix-sizes")
-    rows = rows.withColumn("shard", F.substring("h", 1, shard_digits(rows.count())))
-    shards = settle(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
+    total = rows.count()
+    rows = rows.withColumn("shard", F.substring("h", 1, shard_digits(total)))
+    shards = settle(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards", max(2, total // SHARD_ROWS >> 16))
     goal = targets(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")))
     block = F.greatest(F.lit(1), (F.col("all_size") / blocks).cast("long"))
     goal = goal.withColumn("block", block).withColumn("seats", (F.col("all_size") / F.col("block")).cast("long"))
     by_source = apportion(goal, [], "target", "seats", ["place"]).withColumnRenamed("quota", "source_seats")
-    by_source = settle(by_source.select("source", "place", "source_size", "target", "block", "source_seats"), "mix-sources")
+    by_source = settle(by_source.select("source", "place", "source_size", "target", "block", "source_seats"), "mix-sources", 2)
     s, q = shards.alias("s"), by_source.alias("q")
     dealt = s.join(q, F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.*", "q.place", "q.source_size", "q.target", "q.block", "q.source_seats")
     quotas = apportion(dealt, ["place"], "shard_size", "source_seats", ["shard"])

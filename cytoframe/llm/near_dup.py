@@ -50,7 +50,7 @@ FEW, BLOCK, BLOCK_SIZE = 32, 1024, 4_000_000
 #: Members of a large band are compared with one pivot again as long as a round connects this share of the open ones; rounds at most.
 WORTH, CENTRES = 1 / 8, float("inf")
 #: Rows of links and members of components in a file of an intermediate table, and the least number of files.
-FILE_ROWS, LEAST_FILES = 1 << 18, 8
+FILE_ROWS, LEAST_FILES = 1 << 18, 2
 
 
 def shingle_set(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -209,17 +209,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("shared") >= PERCENT * (F.size("a_set") + F.size("b_set") - F.col("shared"))).select("a", "b").distinct()
 
 
-def stars(edges: DataFrame, files: int) -> DataFrame:
-    """Rows (node, root) of all nodes on edges (a, b); the root is the smallest node. Alternates large and small stars."""
+def stars(edges: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, root) of all nodes on edges (a, b), the root being the smallest node; and the settled table behind them. Alternates large and small stars."""
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges", files)
-    state = None
     while True:
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()  # two numbers
-        if new == state or not new[0]:
-            out = settle(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct(), "near-stars", files)
-            discard(edges)
-            return out
-        state = new
+        # done when every node has one edge down and those at its lower end have none
+        forks = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        if forks.union(edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")).isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct()), edges
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -234,14 +231,17 @@ def stars(edges: DataFrame, files: int) -> DataFrame:
 def components(links: DataFrame, roots: DataFrame | None, files: int) -> DataFrame:
     """Rows (node, root) of all nodes on links (a, b) so far, given the roots before these links. Only roots that the links connect are worked on."""
     if roots is None:
-        return stars(links, files)
+        over, behind = stars(links, files)
+        out = settle(over, "near-roots", files)
+        discard(behind)
+        return out
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    over = stars(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), files)
+    over, behind = stars(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), files)
     moved = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
     known = roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     out = settle(known.union(over.join(roots, "node", "left_anti")), "near-roots", files)
-    discard(over, roots)
+    discard(behind, roots)
     return out
 
 
@@ -345,7 +345,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     tops = in_bands(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     tops = settle(tops, "near-tops", files)  # else a band with many members couldn't be split among tasks in the join
-    members = settle(in_bands(nodes).join(tops, "key"), "near-members")
+    members = settle(in_bands(nodes).join(tops, "key"), "near-members", 8 * files)
     starts = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"rep": "_rep", "rep_x": "_x", "cls": "_cls"})
@@ -360,7 +360,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = settle(confirmed(possible(starts, nodes), sets), "near-links", files)
     roots = components(links, None, files)
     discard(links, tops)
-    rest = settle(unresolved(members, roots), "near-rest", 4 * files)
+    rest = settle(unresolved(members, roots), "near-rest", 8 * files)
     rounds = 0
     while rounds < CENTRES:
         rounds += 1
@@ -372,7 +372,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = links.count()
         if found:
             roots = components(links, roots, files)
-            old, rest = rest, settle(unresolved(members, roots), "near-rest", 4 * files)
+            old, rest = rest, settle(unresolved(members, roots), "near-rest", 8 * files)
             discard(old)
         discard(links)
         if found < WORTH * open_nodes:
@@ -386,7 +386,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = roots.join(nodes.select(F.col("node").alias("root"), F.col("rep").alias("component_id")), "root").select("node", "component_id", (F.col("node") == F.col("root")).alias("top"))
     kept = F.when(F.coalesce("top", F.lit(True)), F.struct(F.col("rep").alias("id"), F.col("rep_x").alias("x"))).alias("keep")
     out = nodes.join(named, "node", "left").select("cls", F.when(F.col("top").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), kept)
-    out = settle(out, "near-classes")
+    out = settle(out, "near-classes", files)
     discard(roots, nodes)
     return seen.select("doc_id", "x", "cls", "n"), out
 
