@@ -92,7 +92,7 @@ def pmd_replicates(spark, d):
     rows = patterned(spark, d)
     one = lambda s: rows.where(F.col("sample") == s).select("chrom", "pos", "n_meth", "n_reads")
     levels = one("R").select("chrom", "pos", (F.col("n_meth").cast("double") / F.col("n_reads")).alias("level"))
-    return H.domain_names(H.partly_methylated(H.pooled_arrays([one("A"), one("N"), levels], arrays=(2,)), bin_size=20)).select("chrom", "start", "stop", "name")
+    return H.domain_names(H.partly_methylated(H.pooled_arrays([one("A"), one("N"), levels], arrays=(2,)), bin_size=20, arrays=(2,))).select("chrom", "start", "stop", "name")
 
 
 #: Six samples: return flag by line status. Factors: base, and whether the flag is A.

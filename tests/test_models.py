@@ -236,3 +236,53 @@ def test_viterbi_by_enumeration_and_parameters_as_json():
         assert tuple(got[s : s + n]) == max(itertools.product(range(3), repeat=int(n)), key=weight)
     again = H.Model.from_json(model.to_json())
     assert np.allclose(again.move, model.move) and again.tie == model.tie
+
+
+def test_levels_have_the_density_of_the_beta():
+    from math import gamma
+
+    p = np.array([0.2, 0.5, 0.9])
+    got = H.log_chance(2.5, 4.0, p * 10, (1 - p) * 10, True)
+    assert np.allclose(np.exp(got), p**1.5 * (1 - p) ** 3 * gamma(6.5) / gamma(2.5) / gamma(4.0))
+    model = H.Model(np.array([0.5, 0.5]), np.full((2, 2), 0.5), np.ones((2, 2, 2)) * 2, (0, 1), np.zeros((2, 2), bool), (1,))
+    again = H.Model.from_json(model.to_json())
+    assert again.arrays == (1,) and H.emissions(again, np.array([[3.0, 2.0]]), np.array([[1.0, 8.0]])).shape == (1, 2)
+
+
+def test_partly_methylated_domains_of_replicates(spark):
+    r = random.Random(4)
+    rows, levels = [], []
+    for i in range(3000):
+        low = 1000 <= i < 1600 or 2200 <= i < 2500
+        for s in range(2):
+            n = r.randint(3, 12)
+            rows.append((s, "a", i * 50, sum(r.random() < (0.3 if low else 0.85) for _ in range(n)), n))
+        levels.append(("a", i * 50, min(0.99, max(0.01, r.gauss(0.3 if low else 0.85, 0.08)))))
+    df = spark.createDataFrame(rows, "s int, chrom string, pos long, n_meth long, n_reads long")
+    own = lambda s: df.where(df.s == s).drop("s")
+    sites = H.pooled_arrays([own(0), own(1), spark.createDataFrame(levels, "chrom string, pos long, level double")], arrays=(2,))
+    assert H.good_tile(sites, 500, 8, 10) == 500
+    got = sorted(H.domain_names(H.partly_methylated(sites, 500, rounds=6, arrays=(2,))).collect(), key=lambda x: x.start)
+    big = [x for x in got if x.stop - x.start > 5000]
+    assert len(big) == 2 and all(abs(x.start - s) <= 500 and abs(x.stop - e) <= 500 for x, (s, e) in zip(big, ((50_000, 80_000), (110_000, 125_000))))
+    assert all(x.start_certainty > 50 and x.start_score > 0 for x in big)
+    assert [x.name.split(":")[0] for x in got] == [f"PMD{k}" for k in range(len(got))] and all(len(x.name.split(":")) == 5 for x in got)
+
+
+def test_boundary_scores_by_hand(spark):
+    model = H.Model(np.array([0.5, 0.5]), np.full((2, 2), 0.5), np.array([[[2.0, 5.0], [6.0, 2.0]]]), (0, 1), np.zeros((2, 2), bool))
+    sites = spark.createDataFrame([("a", p, [m], [u]) for p, m, u in ((80, 8, 2), (95, 7, 3), (100, 1, 9), (110, 3, 7), (190, 2, 8), (205, 9, 1))], "chrom string, pos long, m array<long>, u array<long>")
+    x = H.boundary_scores(sites, spark.createDataFrame([("a", 100, 200)], "chrom string, start long, stop long"), model, 0, 30).first()
+    beta = lambda p, a, b: p ** (a - 1) * (1 - p) ** (b - 1) * math.gamma(a + b) / math.gamma(a) / math.gamma(b)
+    assert math.isclose(x.start_score, beta(4 / 20, 2, 5) * beta(15 / 20, 6, 2), rel_tol=1e-9) and x.start_certainty == 20
+    assert math.isclose(x.stop_score, beta(2 / 10, 2, 5) * beta(9 / 10, 6, 2), rel_tol=1e-9) and x.stop_certainty == 10
+
+
+def test_given_models_are_not_fitted(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [("a", i * 10, [sum(r.random() < (0.08 if 100 <= i < 160 else 0.85) for _ in range(12))], [0]) for i in range(400)]
+    rows = [(c, p, m, [12 - m[0]]) for c, p, m, _ in rows]
+    model = H.Model(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[[1.0, 8.0], [8.0, 1.5]]]), (0, 1), np.zeros((2, 2), bool))
+    monkeypatch.setattr(H, "train", None)
+    got = [x for x in H.low_regions(spark.createDataFrame(rows, "chrom string, pos long, m array<long>, u array<long>"), model=H.Model.from_json(model.to_json())).collect() if x.n > 15]
+    assert len(got) == 1 and abs(got[0].start - 1000) <= 30 and abs(got[0].stop - 1591) <= 30
