@@ -49,6 +49,8 @@ LEAST = PERCENT / 100 - 4.5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS)
 FEW, BLOCK, BLOCK_SIZE = 32, 1024, 4_000_000
 #: Members of a large band are compared with one pivot again as long as a round connects this share of the open ones; rounds at most.
 WORTH, CENTRES = 1 / 8, float("inf")
+#: Keys of texts (16 bytes each) that are broadcast at most; more of them meet the texts in a shuffle.
+KEYS = 1 << 20
 #: Rows of links and members of components in a file of an intermediate table, and the least number of files.
 FILE_ROWS, LEAST_FILES = 1 << 18, 2
 
@@ -349,7 +351,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").withColumnsRenamed({"rep": "_rep", "rep_x": "_x", "cls": "_cls"})
-    d, w = docs.select("doc_id", text_key().alias("x"), "text").alias("d"), wanted.alias("w")
+    keyed, keys = docs.select("doc_id", text_key().alias("x"), "text"), wanted.select("_rep", "_x")
+    if wanted.count() <= KEYS:  # few texts are wanted: the others need not be shuffled
+        keyed = keyed.join(F.broadcast(keys), (F.col("x") == F.col("_x")) & F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    d, w = keyed.alias("d"), wanted.alias("w")
     same = (F.col("d.x") == F.col("w._x")) & F.col("d.doc_id").eqNullSafe(F.col("w._rep"))
     texts = d.join(w, same).select("w.node", "w._cls", "w.n", "w.p1", "w.r1", "w.r2", "d.text")
     kept = ["node", "_cls", "n", "p1", "r1", "r2"]

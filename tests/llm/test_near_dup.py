@@ -74,6 +74,12 @@ def test_large_bands_go_through_blocks(spark, monkeypatch):
     assert own(spark, docs) == brute(docs)
 
 
+def test_texts_may_be_shuffled_to_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "KEYS", 0)
+    docs = made(4, groups=((20, 9), (10, 3)), short=20)
+    assert own(spark, docs) == brute(docs)
+
+
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE two"), (6, "one two "), (7, "a b c d e f"), (7, "a b c d e f"), (7, "other text entirely that differs"), (8, "é\xa0x y"), (9, "É\xa0x y"), (10, "z" * 9000)]
     assert own(spark, docs) == brute(docs)
