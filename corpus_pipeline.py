@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cytoframe.llm import bpe, mixing, near_dup, quality_model, quality_rules
-from cytoframe.llm.common import load, settle
+from cytoframe.llm.common import discard, load, settle
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
