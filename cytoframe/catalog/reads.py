@@ -10,7 +10,7 @@ from cytoframe.catalog.sql import RATIOS, V, counters
 from cytoframe.operators import levels as L
 from cytoframe.operators import reads as R
 from cytoframe.operators import sites as S
-from cytoframe.operators.many import from_reads
+from cytoframe.operators.many import FromReads
 from cytoframe.sources import adapters as A
 
 #: Bases of reads: place in the read, reference position, and base as sequenced.
@@ -174,7 +174,7 @@ def modification_tags(spark, d):
 
 
 def many(spark, d):
-    return from_reads(A.reads(spark, d), A.genome(spark, d))
+    return FromReads(A.reads(spark, d), A.genome(spark, d))
 
 
 #: The kinds of sites of which levels are reported, from the counts k.
@@ -184,27 +184,27 @@ KINDS = "SELECT 'cytosines' AS kind, * EXCLUDE (chrom, pos, strand) FROM k UNION
 @query(V(BASES + CYT + COUNTS + f" SELECT kind, {RATIOS} FROM (SELECT kind, {counters()} FROM ({KINDS}) GROUP BY 1)", "genome", "reads"))
 def many_levels(spark, d):
     """Levels straight from reads, as one of the outputs that share a scan."""
-    return many(spark, d)["levels"]
+    return many(spark, d).levels
 
 
 @query(V(BASES + CYT + COUNTS + """, y AS (SELECT chrom, CASE WHEN strand = '-' THEN pos - 1 ELSE pos END AS pos, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_reads) AS BIGINT) AS n_reads FROM k WHERE context LIKE 'CpG%' GROUP BY 1, 2) SELECT * FROM y WHERE n_reads > 0""", "genome", "reads"))
 def many_sym(spark, d):
-    return many(spark, d)["sym"]
+    return many(spark, d).sym
 
 
 @query(V(BASES + HITS + f" SELECT CAST(fpos AS BIGINT) AS fpos, {RATES} FROM h GROUP BY 1", "genome", "reads"))
 def many_bsrate(spark, d):
-    return many(spark, d)["bsrate"]
+    return many(spark, d).bsrate
 
 
 @query(V(BASES + CYT + COUNTS + " SELECT chrom, pos, pos - coalesce(lag(pos) OVER (PARTITION BY chrom ORDER BY pos), 0) AS delta, n_meth, n_reads - n_meth AS n_unmeth FROM k WHERE n_reads > 0", "genome", "reads"))
 def many_xcounts(spark, d):
-    return many(spark, d)["xcounts"]
+    return many(spark, d).xcounts
 
 
 @query(V(BASES + INDEX + ", s AS (SELECT qname, b.chrom, i, CASE WHEN o IN ('C', 'T') THEN o ELSE 'N' END AS st FROM b JOIN ix ON ix.chrom = b.chrom AND ix.pos = CASE WHEN strand = '-' THEN rpos - 1 ELSE rpos END) SELECT qname, chrom, min(i) AS pos, string_agg(st, '' ORDER BY i) AS seq FROM s GROUP BY 1, 2 HAVING count(*) FILTER (st <> 'N') > 0", "genome", "reads"))
 def many_states(spark, d):
-    return many(spark, d)["states"]
+    return many(spark, d).states
 
 
 @query(f"SELECT name, length(seq1) AS n FROM (SELECT page_id AS name, s1 AS seq1, CASE WHEN page_id % 2 = 0 THEN translate(s1, 'TG', 'CA') ELSE s2 END AS seq2 FROM ({MATES})) p WHERE length(seq1) >= 20 AND length(seq2) >= 20 AND NOT (SELECT count(*) FILTER (a = b OR a || b IN ('TC', 'GA')) > 0.95 * count(*) FROM (SELECT seq1[j] AS a, seq2[j] AS b FROM (SELECT unnest(range(1, least(length(seq1), length(seq2)) + 1)) AS j)))")

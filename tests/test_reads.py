@@ -131,9 +131,9 @@ def test_one_scan_gives_what_five_give(spark):
 
     genome = spark.createDataFrame([("c", "ACGTCCGGATCGCGTTACGC")], "chrom string, seq string")
     reads = spark.createDataFrame([(f"r{i}", "c", i, "+-"[i % 2], "6M", "CGTCTG") for i in range(12)], "qname string, chrom string, pos long, strand string, cigar string, seq string")
-    got = many.from_reads(reads, genome)
+    got = many.FromReads(reads, genome)
     spine = S.cytosines(genome)
     counted = R.counts(reads, spine)
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
-    assert rows(got["states"]) == rows(R.states(reads, R.cpg_index(genome))) and rows(got["xcounts"]) == rows(S.to_deltas(counted))
-    assert rows(got["bsrate"]) == rows(R.conversion_rates(R.conversion(reads, genome), ("fpos",)))
+    assert rows(got.states) == rows(R.states(reads, R.cpg_index(genome))) and rows(got.xcounts) == rows(S.to_deltas(counted))
+    assert rows(got.bsrate) == rows(R.conversion_rates(R.conversion(reads, genome), ("fpos",)))
