@@ -49,7 +49,7 @@ LEAST = PERCENT / 100 - 4.5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS)
 FEW, BLOCK, BLOCK_SIZE = 32, 1024, 4_000_000
 #: Members of a large band are compared with one pivot again as long as a round connects this share of the open ones; rounds at most.
 WORTH, CENTRES = 1 / 8, float("inf")
-#: Keys of texts (16 bytes each) that are broadcast at most; more of them meet the texts in a shuffle.
+#: Keys of texts that are broadcast at most, some 90 MB with the table they are looked up in; more of them meet the texts in a shuffle.
 KEYS = 1 << 20
 #: Rows of links and members of components in a file of an intermediate table, and the least number of files.
 FILE_ROWS, LEAST_FILES = 1 << 18, 2
