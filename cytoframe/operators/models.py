@@ -6,68 +6,117 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.functions import stats
 from cytoframe.operators import ordered
-from cytoframe.plans import ranges
+from cytoframe.plans import ranges, store
+
+
+#: Rows that are fitted together, at most.
+ROWS = 1 << 14
 
 
 def beta_binomial_fit(n: np.ndarray, m: np.ndarray, x: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood for every row of counts (rows by samples) under one design (samples by factors): parameters and log-likelihoods.
 
-    The level is a logistic function of the factors and the dispersion phi = logistic(last parameter). All rows take damped Newton steps together, with
-    the Hessian by differences of the gradient; a row's damping grows when its likelihood would fall.
+    The level is a logistic function of the factors and the dispersion phi = logistic(last parameter). All rows take damped Newton steps together; a row's damping
+    grows when its likelihood would fall.
+    """
+    w, best = np.zeros((len(n), x.shape[1] + 1)), np.zeros(len(n))
+    for at in range(0, len(n), ROWS):
+        some = n[at : at + ROWS].T > 0
+        own = [np.ascontiguousarray(np.where(some, c[at : at + ROWS].T, 0)) for c in (n, m)]
+        w[at : at + ROWS], best[at : at + ROWS] = newton(*own, x, rounds)
+    return w, best
+
+
+def likelihood(w: np.ndarray, n: np.ndarray, m: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihoods of parameters (one a row of ``w``) with their gradients and negative Hessians, rows last. Counts are samples by rows; a sample without reads adds nothing.
+
+    No result of a row depends on the rows beside it, down to the last bit.
     """
-    rows, factors = len(n), x.shape[1]
-    w = np.zeros((rows, factors + 1))
-    w[:, -1] = -2.5
-    u, some = n - m, n > 0
-    lg, dg = stats.lgamma_wide, stats.digamma
-
-    def shape(w: np.ndarray):
-        p = 1 / (1 + np.exp(-np.clip(w[:, :-1] @ x.T, -20, 20)))
-        p = np.clip(p, 1e-9, 1 - 1e-9)
-        s = np.exp(-np.clip(w[:, -1:], -12, 6))
-        return p, s, p * s, (1 - p) * s
-
-    def score(w: np.ndarray, at) -> np.ndarray:
-        _, s, a, b = shape(w)
-        out = lg(m[at] + a) - lg(a) + lg(u[at] + b) - lg(b) - lg(n[at] + s) + lg(s)
-        return np.where(some[at], out, 0).sum(1)
-
-    def gradient(w: np.ndarray, at) -> np.ndarray:
-        p, s, a, b = shape(w)
-        both = dg(s) - dg(n[at] + s)
-        da, db = dg(m[at] + a) - dg(a) + both, dg(u[at] + b) - dg(b) + both
-        eta = np.where(some[at], (da - db) * p * (1 - p) * s, 0)
-        disp = np.where(some[at], -(da * a + db * b), 0).sum(1)
-        return np.concatenate([eta @ x, disp[:, None]], 1)
-
-    best, damp, live = score(w, slice(None)), np.full(rows, 1e-2), np.arange(rows)
+    k, factors = len(n), x.shape[1]
+    over = lambda weights, rows: sum(c * r for c, r in zip(weights, rows) if c)
+    eta = np.stack([over(weights, w) + np.zeros(n.shape[1]) for weights in x])
+    p = np.clip(1 / (1 + np.exp(-np.clip(eta, -20, 20))), 1e-9, 1 - 1e-9)
+    s = np.exp(-np.clip(w[-1], -12, 6))
+    a, b = p * s, (1 - p) * s
+    some = [np.flatnonzero(c) for c in (m, n - m, n)]  # a count of 0 adds nothing
+    parts = [(c.ravel()[at], f.ravel()[at]) for c, f, at in zip((m, n - m, n), (a, b, np.broadcast_to(s, n.shape)), some)]
+    done = stats.gamma_logs(np.concatenate([*(c + f for c, f in parts), *(f for _, f in parts[:2]), s]))
+    less, upto = np.zeros((3, 3, n.size)), np.cumsum([0, *map(len, some), *map(len, some[:2])])
+    for i, at in enumerate(some):  # of m, n - m and n: by how much the counts raise them
+        more = done[:, upto[i] : upto[i + 1]]
+        less[:, i, at] = more - (done[:, upto[i + 3] : upto[i + 4]] if i < 2 else done[:, upto[5] :][:, at % n.shape[1]])
+    (like_a, like_b, like_s), (da, db, ds), (da2, db2, ds2) = less.reshape(3, 3, *n.shape)
+    like = (like_a + like_b - like_s).sum(0)
+    qs, gap = p * b, da - db
+    e = gap * qs
+    g = np.stack([*(over(weights, e) + np.zeros(n.shape[1]) for weights in x.T), -(da * a + db * b - ds * s).sum(0)])
+    # beyond their bounds level and dispersion stand still
+    free, loose = np.abs(eta) < 20, (w[-1] > -12) & (w[-1] < 6)
+    ee = ((da2 + db2) * qs * qs + e * (1 - 2 * p)) * free
+    et = -qs * (da2 * a - db2 * b + gap) * (0.5 * free + 0.5 * loose)
+    h = np.empty((factors + 1, factors + 1, n.shape[1]))
+    for i in range(factors):
+        for j in range(i + 1):
+            h[i, j] = h[j, i] = -over(x[:, i] * x[:, j], ee)
+        h[i, -1] = h[-1, i] = -over(x[:, i], et)
+    h[-1, -1] = -((da2 * a + da) * a + (db2 * b + db) * b - (ds2 * s + ds) * s).sum(0) * loose
+    return like, g, h
+
+
+def solved(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of symmetric systems (rows last) by elimination without pivots, and the least pivot of each: above 0 where the matrix is positive definite."""
+    h, out, k = h.copy(), g.copy(), len(g)
+    least = np.full(g.shape[1], np.inf)
+    for i in range(k):
+        least = np.fmin(least, h[i, i])
+        for j in range(i + 1, k):
+            f = h[j, i] / h[i, i]
+            h[j, i + 1 :] -= f * h[i, i + 1 :]
+            out[j] -= f * out[i]
+    for i in reversed(range(k)):
+        out[i] = (out[i] - (h[i, i + 1 :] * out[i + 1 :]).sum(0)) / h[i, i]
+    return out, least
+
+
+def newton(n: np.ndarray, m: np.ndarray, x: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fit of one block, counts as samples by rows: parameters, one line a row of counts, and log-likelihoods."""
+    rows, size = n.shape[1], x.shape[1] + 1
+    w = np.zeros((size, rows))
+    w[-1] = -2.5
+    best, g, h = likelihood(w, n, m, x)
+    live, damp = np.arange(rows), np.full(rows, 1e-2)
+    v, score, eye = w.copy(), best.copy(), np.eye(size)[:, :, None]
     for _ in range(rounds):
         if not len(live):
             break
-        v, g = w[live], gradient(w[live], live)
-        h = np.empty((len(live), factors + 1, factors + 1))
-        for j in range(factors + 1):
-            step = np.zeros(factors + 1)
-            step[j] = 1e-4
-            h[:, :, j] = (gradient(v + step, live) - gradient(v - step, live)) / 2e-4
-        h = -(h + h.transpose(0, 2, 1)) / 2
-        scale = np.abs(np.diagonal(h, axis1=1, axis2=2)).max(1) + 1e-6
-        low = np.linalg.eigvalsh(h)[:, 0]
-        h += (np.maximum(0, 1e-6 * scale - low) + damp[live] * scale)[:, None, None] * np.eye(factors + 1)
-        move = np.clip(np.linalg.solve(h, g[:, :, None])[:, :, 0], -2, 2)
-        new = np.clip(v + move, -15, 15)
-        now = score(new, live)
-        up = now >= best[live]
-        gain = now - best[live]
-        w[live[up]], best[live[up]] = new[up], now[up]
-        damp[live] = np.where(up, damp[live] / 5, damp[live] * 10)
-        live = live[~((up & (gain < 1e-9)) | (damp[live] > 1e8))]
-    return w, best
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            scale = np.abs(np.diagonal(h)).max(1) + 1e-6
+            shift = damp * scale
+            flat = ~(solved(h - 1e-6 * scale * eye, g)[1] > 0)
+            if flat.any():  # not clearly concave: the least eigenvalue is raised
+                low = np.linalg.eigvalsh(np.moveaxis(h[:, :, flat], 2, 0))[:, 0]
+                shift[flat] += np.maximum(0, 1e-6 * scale[flat] - low)
+            move = solved(h + shift * eye, g)[0]
+        new = np.clip(v + np.clip(move, -2, 2), -15, 15)
+        now, g2, h2 = likelihood(new, n, m, x)
+        up = now >= score
+        gain = now - score
+        v, score, g, h = np.where(up, new, v), np.where(up, now, score), np.where(up, g2, g), np.where(up, h2, h)
+        damp = np.where(up, damp / 5, damp * 10)
+        stay = ~((up & (gain < 1e-9)) | (damp > 1e8))
+        if not stay.all():
+            done = live[~stay]
+            w[:, done], best[done] = v[:, ~stay], score[~stay]
+            live, damp, v, score, g, h, n, m = live[stay], damp[stay], v[:, stay], score[stay], g[:, stay], h[:, :, stay], n[:, stay], m[:, stay]
+    w[:, live], best[live] = v, score
+    return w.T, best
 
 
 def regression(table: DataFrame, design: Sequence[Sequence[int]], factor: int, keys: tuple[str, ...] = ("chrom", "pos", "strand", "context")) -> DataFrame:
@@ -80,29 +129,33 @@ def regression(table: DataFrame, design: Sequence[Sequence[int]], factor: int, k
     cases = full[:, factor] == 1
     groups, at = np.unique(full, axis=0, return_inverse=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrix(column: pa.Array) -> np.ndarray:
+        size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        if (size != len(full)).any():
+            raise ValueError(f"a row of counts has not one number for each of {len(full)} samples")
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(full))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = batch[list(keys)].copy()
-            n, m = (np.stack(batch[c].to_numpy()).astype(float) if len(batch) else np.zeros((0, len(full))) for c in ("n", "m"))
+            n, m = matrix(batch.column("n")), matrix(batch.column("m"))
             low = (n[:, cases].sum(1) == 0) | (n[:, ~cases].sum(1) == 0)
             flat = (m.sum(1) == 0) | (m.sum(1) == n.sum(1))
             ok = ~(low | flat)
-            p, disp = np.full(len(out), np.nan), np.full(len(out), np.nan)
+            p, disp = np.full(len(n), np.nan), np.full(len(n), np.nan)
             if ok.any():
                 w, ll = beta_binomial_fit(n[ok], m[ok], full)
                 _, ll0 = beta_binomial_fit(n[ok], m[ok], null)
                 p[ok] = stats.erfc(np.sqrt(np.maximum(0, ll - ll0)))  # chi-square with one degree of freedom, of twice the difference
                 disp[ok] = np.exp(-w[:, -1])
-            out["p"], out["dispersion"] = p, disp
-            level = [m[:, at == g].sum(1) / np.where(n[:, at == g].sum(1) > 0, n[:, at == g].sum(1), np.nan) for g in range(len(groups))]
-            out["levels"] = list(np.stack(level, 1)) if len(out) else []
-            out["n_case"], out["m_case"] = n[:, cases].sum(1).astype("int64"), np.rint(m[:, cases].sum(1)).astype("int64")
-            out["n_control"], out["m_control"] = n[:, ~cases].sum(1).astype("int64"), np.rint(m[:, ~cases].sum(1)).astype("int64")
-            yield out
+            level = np.stack([m[:, at == g].sum(1) / np.where(n[:, at == g].sum(1) > 0, n[:, at == g].sum(1), np.nan) for g in range(len(groups))], 1)
+            own = {k: batch.column(k) for k in keys} | {"p": pa.array(p, from_pandas=True), "dispersion": pa.array(disp, from_pandas=True)}
+            own["levels"] = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(groups)), pa.array(level.ravel(), from_pandas=True))
+            for name, those in (("case", cases), ("control", ~cases)):
+                own[f"n_{name}"], own[f"m_{name}"] = (pa.array(c.astype("int64")) for c in (n[:, those].sum(1), np.rint(m[:, those].sum(1))))
+            yield pa.RecordBatch.from_pydict(own)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*keys).schema)
-    out = table.select(*keys, "n", "m").mapInPandas(run, f"{schema}, p double, dispersion double, levels array<double>, n_case long, m_case long, n_control long, m_control long")
-    return out.withColumn("p", F.nanvl("p", F.lit(None).cast("double"))).withColumn("dispersion", F.nanvl("dispersion", F.lit(None).cast("double")))
+    return table.select(*keys, "n", "m").mapInArrow(run, f"{schema}, p double, dispersion double, levels array<double>, n_case long, m_case long, n_control long, m_control long")
 
 
 def z_score(p):
@@ -122,12 +175,17 @@ def upper_tail(z):
 
 
 def adjust_regression(rows: DataFrame, reach: int = 200, bin_size: int = 1) -> DataFrame:
-    """Rows (chrom, pos, p) with the p combined over neighbours and its adjusted value. Rows with p of 1, or none, are left out of both and keep 1."""
-    tested = rows.where(F.col("p") < 1).select("chrom", "pos", z_score("p").alias("value"))
-    both = ordered.combined(tested, reach, bin_size).select("chrom", "pos", upper_tail("z").alias("combined"))
+    """Rows (chrom, pos, p) with the p combined over neighbours and its adjusted value. Rows with p of 1, or none, are left out of both and keep 1.
+
+    Several plans read what the tests gave, and what combining gives, so both are kept.
+    """
+    named = rows.columns
+    rows = store.kept(rows.withColumn("_value", F.when(F.col("p") < 1, z_score("p"))))
+    tested = rows.where(F.col("p") < 1).select("chrom", "pos", F.col("_value").alias("value"))
+    both = store.kept(ordered.combined(tested, reach, bin_size).select("chrom", "pos", upper_tail("z").alias("combined")))
     done = ordered.adjusted(both, "combined")
     one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
-    return rows.join(done, ["chrom", "pos"], "left").select(*rows.columns, one("combined"), one("fdr"))
+    return rows.join(done, ["chrom", "pos"], "left").select(*named, one("combined"), one("fdr"))
 
 
 def hydroxy(rows: DataFrame, cap: int = 500, alpha: float = 0.05, tolerance: float = 1e-10, rounds: int = 500) -> DataFrame:

@@ -286,3 +286,92 @@ def test_given_models_are_not_fitted(spark, monkeypatch):
     monkeypatch.setattr(H, "train", None)
     got = [x for x in H.low_regions(spark.createDataFrame(rows, "chrom string, pos long, m array<long>, u array<long>"), model=H.Model.from_json(model.to_json())).collect() if x.n > 15]
     assert len(got) == 1 and abs(got[0].start - 1000) <= 30 and abs(got[0].stop - 1591) <= 30
+
+
+def plain_combination(rows, reach, bin_size):
+    """Of (chrom, pos, value): number of neighbours and z, pair by pair."""
+    pairs = [(a, b, (b[1] - a[1] - 1) // bin_size) for a in rows for b in rows if a[0] == b[0] and 0 < b[1] - a[1] <= reach + 1]
+    r = {}
+    for k in {k for *_, k in pairs}:
+        x, y = (np.array([p[i][2] for p in pairs if p[2] == k]) for i in (0, 1))
+        r[k] = np.corrcoef(x, y)[0, 1] if x.var() * len(x) > 1e-12 and y.var() * len(y) > 1e-12 else 0.0
+    out = {}
+    for c, p, _ in rows:
+        near = [v for d, q, v in rows if d == c and abs(q - p) <= reach + 1]
+        extra = sum(r[k] for a, b, k in pairs if a[0] == c and a[1] >= p - reach - 1 and b[1] <= p + reach + 1)
+        out[c, p] = len(near), sum(near) / math.sqrt(max(len(near) + 2 * extra, 1e-9))
+    return out
+
+
+@pytest.mark.parametrize(("piece", "reach", "bin_size"), [(1 << 16, 6, 2), (1, 6, 2), (1, 3, 1), (1, 0, 1)])
+def test_combination_by_hand(spark, monkeypatch, piece, reach, bin_size):
+    monkeypatch.setattr(O, "PIECE", piece)
+    r = random.Random(reach)
+    rows = [(c, p, r.gauss(0, 1) + math.sin(p / 5)) for c in "ab" for p in sorted(r.sample(range(400), 90 if c == "a" else 40))]
+    df = O.combined(spark.createDataFrame(rows, "chrom string, pos long, value double"), reach, bin_size)
+    got, want = {(x.chrom, x.pos): (x.n, x.z) for x in df.collect()}, plain_combination(rows, reach, bin_size)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-8, abs_tol=1e-8) for k in want)
+
+
+def test_combination_lists_no_pairs(spark):
+    rows = spark.range(3000).selectExpr("'a' as chrom", "id as pos", "sin(id) as value")
+    df = O.combined(rows, 200, 1)  # 3000 sites of which each has 60 000 pairs of neighbours around it
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    x = {x.pos: x for x in df.collect()}
+    assert len(x) == 3000 and (x[0].n, x[1500].n, x[2999].n) == (202, 403, 202)
+    assert O.combined(rows.limit(0), 200, 1).count() == 0
+
+
+def test_combination_without_a_place_or_a_neighbour(spark):
+    rows = spark.createDataFrame([("a", 5, 1.5), (None, 5, 2.0), ("a", None, 3.0), ("b", 5, -1.0)], "chrom string, pos long, value double")
+    assert sorted((str(x.chrom), x.pos or -1, x.n, x.z) for x in O.combined(rows, 10, 2).collect()) == [("None", 5, 1, 2.0), ("a", -1, 1, 3.0), ("a", 5, 1, 1.5), ("b", 5, 1, -1.0)]
+
+
+def test_adjustment_runs_the_tests_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 300, 1, 2).selectExpr("'a' as chrom", "id as pos", "if(id % 9 = 0, 1D, (id % 97 + 0.5) / 100) as p").mapInArrow(count, "chrom string, pos long, p double")
+    got = {x.pos: x for x in M.adjust_regression(rows, 20, 5).collect()}
+    assert ran.value == 300 and len(got) == 300
+    low, tested = 1.0, sorted((x for x in got.values() if x.p < 1), key=lambda x: x.combined)
+    assert all((x.combined, x.fdr) == (1, 1) for x in got.values() if x.p == 1) and 0 < len(tested) < 300
+    for rank in range(len(tested), 0, -1):
+        x = tested[rank - 1]
+        low = min(low, x.combined * len(tested) / rank)
+        assert math.isclose(x.fdr, low, rel_tol=1e-9)
+
+
+def test_gamma_and_its_derivatives():
+    x = 10.0 ** np.linspace(-10, 7, 300)
+    value, first, second = stats.gamma_logs(x)
+    assert np.allclose(value, [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11) and np.allclose(first, stats.digamma(x), rtol=1e-11, atol=1e-11)
+    assert np.allclose(second - stats.gamma_logs(x + 1)[2], 1 / x**2, rtol=1e-6, atol=1e-9) and math.isclose(stats.gamma_logs(np.ones(1))[2][0], math.pi**2 / 6, rel_tol=1e-12)
+    assert stats.gamma_logs(np.zeros(0)).shape == (3, 0)
+
+
+def test_derivatives_of_the_likelihood_and_rows_on_their_own():
+    r = np.random.default_rng(3)
+    x = np.array([[1, 1], [1, 1], [1, 0], [1, 0]], float)
+    n = r.integers(0, 30, (4, 50)).astype(float)
+    m = np.floor(n * r.random(n.shape))
+    w = np.stack([r.normal(0, 1, 50), r.normal(0, 1, 50), r.normal(-2.5, 1, 50)])
+    _, g, h = M.likelihood(w, n, m, x)
+    for i in range(3):
+        step = 1e-5 * np.eye(3)[i][:, None]
+        up, down = M.likelihood(w + step, n, m, x), M.likelihood(w - step, n, m, x)
+        assert np.allclose(g[i], (up[0] - down[0]) / 2e-5, rtol=1e-5, atol=1e-5) and np.allclose(h[i], -(up[1] - down[1]) / 2e-5, rtol=1e-5, atol=1e-5)
+    v, best = M.beta_binomial_fit(n.T, m.T, x)
+    some = r.permutation(50)[:17]
+    again = M.beta_binomial_fit(n.T[some], m.T[some], x)
+    assert (again[0] == v[some]).all() and (again[1] == best[some]).all()
+
+
+def test_regression_refuses_rows_of_another_length(spark):
+    df = spark.createDataFrame([("c", 1, "+", "CpG", [20, 20, 9], [2, 3, 4]), ("c", 2, "+", "CpG", [20, 20, 9, 9, 9], [2, 3, 4, 5, 6])], "chrom string, pos long, strand string, context string, n array<long>, m array<long>")
+    with pytest.raises(Exception, match="one number for each of 4 samples"):
+        M.regression(df, [[1, 1], [1, 1], [1, 0], [1, 0]], 1).collect()
